@@ -58,19 +58,24 @@ def trade_reason(message: Column) -> Column:
     )
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add an expensive column so that it is worked out once per row: a one-element generator keeps
+    the optimizer from copying the expression into every later use of the column."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_frames(frames: DataFrame, feed: str = "default") -> DataFrame:
     """Frame text parsed once, with its route (``depthUpdate``, ``trade`` or null = dropped) and the
     first validation failure."""
-    parsed = frames.withColumn("message", parser_for(feed)(F.col("data")))
+    parsed = once(frames, parser_for(feed)(F.col("data")), "message")
     message = F.col("message")
-    route = F.try_variant_get(message, "$.e", "string")
-    parsed = parsed.withColumn("route", F.when(route.isin("depthUpdate", "trade"), route))
-    return parsed.withColumn(
-        "reason",
-        F.when(F.col("route") == "depthUpdate", depth_reason(message)).when(
-            F.col("route") == "trade", trade_reason(message)
-        ),
+    kind = F.try_variant_get(message, "$.e", "string")
+    route = F.when(kind.isin("depthUpdate", "trade"), kind)
+    reason = F.when(route == "depthUpdate", depth_reason(message)).when(
+        route == "trade", trade_reason(message)
     )
+    checked = once(parsed, F.struct(route.alias("route"), reason.alias("reason")), "check")
+    return checked.select("*", "check.route", "check.reason").drop("check")
 
 
 def rejected_frames(parsed: DataFrame) -> DataFrame:
@@ -162,12 +167,11 @@ def project_events(rows: DataFrame, sequenced: bool = True) -> DataFrame:
 
 def priced_rows(rows: DataFrame) -> DataFrame:
     """Text price and quantity to fixed point; rows with malformed text drop out."""
-    priced = rows.withColumns(
-        {
-            "price_fp": decimal_text_to_fixed(F.col("price")),
-            "qty_fp": decimal_text_to_fixed(F.col("qty")),
-        }
+    fixed = F.struct(
+        decimal_text_to_fixed(F.col("price")).alias("price_fp"),
+        decimal_text_to_fixed(F.col("qty")).alias("qty_fp"),
     )
+    priced = once(rows, fixed, "fixed").select("*", "fixed.price_fp", "fixed.qty_fp").drop("fixed")
     return priced.filter(F.col("price_fp").isNotNull() & F.col("qty_fp").isNotNull())
 
 
