@@ -172,12 +172,12 @@ def unwrap(df: DataFrame, *names: str) -> DataFrame:
 
 
 def reflected_sum(
-    df: DataFrame, keys: list[str], order: list[str], delta: Column, name: str
+    df: DataFrame, keys: list[str], order: list[str], delta: Column, name: str, total_name: str | None = None
 ) -> DataFrame:
     """Running sum that never goes below zero: ``d = max(0, d + delta)`` from 0.
 
     Closed form: ``C - least(0, min C)`` with C the plain running sum, so a chunk is summed up by its
-    total and its lowest prefix.
+    total and its lowest prefix. ``total_name`` also keeps C.
     """
     if CHUNK not in df.columns:
         df = with_chunks(df, order[0], order[1] if len(order) > 1 else None)
@@ -194,9 +194,10 @@ def reflected_sum(
     )
     total = F.col("_before") + F.col("_sum")
     lowest = F.least(F.lit(0), F.col("_low_before"), F.col("_before") + F.col("_low"))
+    values = {name: total - lowest, **({total_name: total} if total_name else {})}
     return (
         rows.join(carry, [*keys, CHUNK], "left")
-        .withColumn(name, total - lowest)
+        .withColumns(values)
         .drop("_sum", "_low", "_before", "_low_before")
     )
 
@@ -244,79 +245,66 @@ def _retie(df: DataFrame, tie: str) -> DataFrame:
 
 
 def fold_in_rounds(
-    df: DataFrame, keys: list[str], order: list[str], step, state_schema: str, out_schema: str,
+    df: DataFrame, keys: list[str], order: list[str], step, state: list[str], out_schema: str = "",
     rows_per_round: int = 1_000_000,
-) -> DataFrame:
-    """Truly sequential folds (each step needs the exact result of the one before).
-
-    ``step(key_rows, state_row_or_None) -> (out_rows, state_row)`` runs on pandas frames. Time is cut
-    so that no key gives one task more than about ``rows_per_round`` rows; the rounds carry one
-    checkpointed state row per key. Usually one round is enough; a hot key takes more rounds, never
-    a bigger task. ``out_schema`` and ``state_schema`` are DDL strings of the non-key columns.
+) -> tuple[DataFrame, DataFrame]:
+    """Truly sequential folds, where each step needs the exact result of the one before.
+
+    ``step(rows, before) -> (list of out tuples, after)`` gets one key's rows of a round in order (a
+    pandas frame) and the state dict (None at first). States are text, so 64-bit and wider numbers
+    stay exact. Time is cut so that no key gives one task more than about ``rows_per_round`` rows:
+    one round is the usual case, a hot key takes more rounds, never a bigger task. Between rounds one
+    state row per key is checkpointed. Gives ``(rows out, final state per key)``.
     """
     import pandas as pd
 
-    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    state_cols = [c.split()[0] for c in state_schema.split(", ")]
-    out_cols = [c.split()[0] for c in out_schema.split(", ")]
+    key_fields = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+    out_fields = [c.strip() for c in out_schema.split(",") if c.strip()]
+    out_names = [c.split()[0] for c in out_fields]
+    held_names = [f"_s_{c}" for c in state]
+    schema = ", ".join([*key_fields, "_is_state boolean", *out_fields, *[f"{c} string" for c in held_names]])
+    columns = [*keys, "_is_state", *out_names, *held_names]
+
+    def fold(rows: pd.DataFrame, before: dict | None) -> pd.DataFrame:
+        key = tuple(rows[k].iloc[0] for k in keys)
+        out, after = step(rows.sort_values(order), before)
+        lines = [(*key, False, *line, *[None] * len(state)) for line in out]
+        lines.append((*key, True, *[None] * len(out_names), *[str(after[c]) for c in state]))
+        return pd.DataFrame(lines, columns=columns, dtype=object)
+
+    def first_round(rows: pd.DataFrame) -> pd.DataFrame:
+        return fold(rows, None)
+
+    def next_round(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        before = {c: held[f"_s_{c}"].iloc[0] for c in state} if len(held) else None
+        if len(rows):
+            return fold(rows, before)
+        line = (*[held[k].iloc[0] for k in keys], True, *[None] * len(out_names), *[before[c] for c in state])
+        return pd.DataFrame([line], columns=columns, dtype=object)
+
+    def split(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (
+            done.filter(~F.col("_is_state")).select(*keys, *out_names),
+            done.filter("_is_state").select(*keys, *[F.col(f"_s_{c}").alias(c) for c in state]),
+        )
+
     biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    rounds = max(1, -(-biggest // rows_per_round))
-    work = df
-    numbers: list[int] = [0]
-    if rounds > 1:
-        work = with_chunks(df, order[0], order[1], chunks=2 * rounds)
-        numbers = sorted(r[0] for r in work.select(CHUNK).distinct().collect())
-    schema = f"{key_types}, {out_schema}, " + ", ".join(f"_s_{p}" for p in state_schema.split(", "))
-    state: DataFrame | None = None
-    outputs: list[DataFrame] = []
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf["_is_state"] == 0].sort_values(order)
-        held = pdf[pdf["_is_state"] == 1]
-        before = held.iloc[0][[f"_s_{c}" for c in state_cols]] if len(held) else None
-        if before is not None:
-            before = {c: before[f"_s_{c}"] for c in state_cols}
-        out, after = step(rows, before)
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        for c in state_cols:
-            out[f"_s_{c}"] = pd.Series([None] * len(out), index=out.index, dtype=object)
-        last = {**{k: pdf[k].iloc[0] for k in keys}, **{f"_s_{c}": after[c] for c in state_cols}}
-        frame = pd.concat([out, pd.DataFrame([last])], ignore_index=True)
-        return frame.reindex(columns=[*keys, *out_cols, *[f"_s_{c}" for c in state_cols]])
-
-    marker = f"_s_{state_cols[0]}"
-    for number in numbers:
-        part = work if rounds == 1 else work.filter(F.col(CHUNK) == number)
-        part = part.drop(CHUNK).withColumn("_is_state", F.lit(0))
-        if state is not None:
-            part = part.unionByName(
-                state.withColumn("_is_state", F.lit(1)), allowMissingColumns=True
-            )
+    if biggest <= rows_per_round:
+        return split(df.groupBy(*keys).applyInPandas(first_round, schema))
+    work = with_chunks(df, order[0], order[1], chunks=2 * -(-biggest // rows_per_round))
+    held: DataFrame | None = None
+    outputs: DataFrame | None = None
+    for (number,) in sorted(work.select(CHUNK).distinct().collect()):
+        part = work.filter(F.col(CHUNK) == number).groupBy(*keys)
+        if held is None:
+            done = part.applyInPandas(first_round, schema)
         else:
-            part = part.withColumns(
-                {f"_s_{p.split()[0]}": F.lit(None).cast(p.split()[1]) for p in state_schema.split(", ")}
-            )
-        done = part.groupBy(*keys).applyInPandas(run, schema)
-        if rounds > 1:
-            done = cut_lineage(done)
-        outputs.append(done)
-        state = done.filter(F.col(marker).isNotNull()).select(
-            *keys, *[f"_s_{c}" for c in state_cols]
-        )
-        if rounds > 1:
-            continue
-    result = outputs[0]
-    for more in outputs[1:]:
-        result = result.unionByName(more)
-    return result
-
-
-def fold_rows(folded: DataFrame, state_first: str) -> DataFrame:
-    """The per-row output of ``fold_in_rounds``."""
-    return folded.filter(F.col(f"_s_{state_first}").isNull()).drop(
-        *[c for c in folded.columns if c.startswith("_s_")]
-    )
+            done = part.cogroup(held.groupBy(*keys)).applyInPandas(next_round, schema)
+        done = cut_lineage(done)
+        held = done.filter("_is_state")
+        rows = done.filter(~F.col("_is_state"))
+        outputs = rows if outputs is None else outputs.unionByName(rows)
+    return outputs.select(*keys, *out_names), split(held)[1]
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
