@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bookweave.operators.ordered import last_of, running
 
 # Gate thresholds per regime (Calm, Normal, Volatile): min cut, max drift, max cusum.
-THRESHOLDS = [(0.3, 1.5, 5.0), (0.5, 1.0, 4.0), (0.8, 0.5, 3.0)]
+THRESHOLDS = [(0.3, 1.5, 5.0), (0.5, 1.0, 4.0), (0.8, 0.5, 2.0)]
 
 
 def coherence_metrics(controls: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,21 +29,16 @@ def coherence_gate(metrics: DataFrame, regime: str = "regime") -> DataFrame:
         *[F.struct(F.lit(a).alias("mincut"), F.lit(b).alias("drift"), F.lit(c).alias("cusum")) for a, b, c in THRESHOLDS]
     )
     limit = F.element_at(limits, F.col(regime) + 1)
-    text = lambda v: F.format_string("%.6f", v)
     checks = [
-        (F.col("mincut") < limit["mincut"], "mincut", "below", "mincut"),
-        (F.col("drift") > limit["drift"], "drift", "above", "drift"),
-        (F.col("cusum") > limit["cusum"], "cusum", "above", "cusum"),
+        (F.col("mincut") < limit["mincut"], "mincut", "<"),
+        (F.col("drift") > limit["drift"], "drift", ">"),
+        (F.col("cusum") > limit["cusum"], "cusum", ">"),
     ]
-    reasons = F.filter(
-        F.array(
-            *[
-                F.when(hit, F.concat_ws(" ", F.lit(name), text(F.col(name)), F.lit(word), text(limit[name])))
-                for hit, name, word, _ in checks
-            ]
-        ),
-        lambda r: r.isNotNull(),
-    )
+    found = [
+        F.when(hit, F.format_string(f"{name} %.6f {sign} threshold %.1f", F.col(name), limit[name]))
+        for hit, name, sign in checks
+    ]
+    reasons = F.filter(F.array(*found), lambda r: r.isNotNull())
     decided = metrics.withColumn("reasons", reasons)
     calm = F.size("reasons") == 0
     return decided.withColumns(

@@ -329,7 +329,7 @@ def _(spark, d):
 
 
 LIMITS = R.RiskLimits(
-    max_notional=2_000_000_000, max_symbol_notional=2_000_000, max_order_rate=9, max_cancel_rate=3, max_slippage_bp=400, max_drawdown_pct=60
+    max_notional=2_000_000_000, max_symbol_notional=2_000_000, max_order_rate=9, max_cancel_rate=3, max_slippage_bp=4000, max_drawdown_pct=60
 )
 
 
@@ -337,7 +337,7 @@ LIMITS = R.RiskLimits(
     "risk_check",
     "B32",
     IN
-    + """, x AS (SELECT *, price_fp / 1e6 * (qty_fp / 1e6) AS notional, (price_fp // 10000 % 100) / 1000.0::DOUBLE AS slip FROM intents),
+    + """, x AS (SELECT *, price_fp / 1e6 * (qty_fp / 1e6) AS notional, (price_fp // 10000 % 100) / 100.0::DOUBLE AS slip FROM intents),
  r AS (SELECT *, coalesce(sum(notional) OVER g, 0) AS tn, coalesce(sum(notional) OVER s, 0) AS sn, row_number() OVER dy - 1 AS orate,
    coalesce(sum(CASE WHEN qty_fp = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY ts_ns ORDER BY order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS crate,
    coalesce(sum(slip) OVER g, 0) AS sl, (price_fp // 10000 % 7000) / 100.0::DOUBLE AS dd
@@ -348,7 +348,7 @@ LIMITS = R.RiskLimits(
    CASE WHEN sn + notional > 2000000 THEN printf('Symbol %d notional %.2f > max 2000000', symbol_id, sn + notional) END,
    CASE WHEN orate >= 9 THEN printf('Order rate %d/s >= max 9/s', orate) END,
    CASE WHEN crate >= 3 THEN printf('Cancel rate %d/s >= max 3/s', crate) END,
-   CASE WHEN sl > 400 THEN printf('Cumulative slippage %.2fbp > max 400bp', sl) END,
+   CASE WHEN sl > 4000 THEN printf('Cumulative slippage %.2fbp > max 4000bp', sl) END,
    CASE WHEN dd > 60 THEN printf('Session drawdown %.2f%% > max 60%%', dd) END,
    CASE WHEN orate >= 7.2 THEN printf('Order rate %d/s >= throttle threshold 7/s (80%% of max)', orate) END], lambda z: z IS NOT NULL) AS violations FROM r)
  SELECT order_id, len(violations) = 0 AS allowed, array_to_string(violations, '; ') AS violations FROM v""",
@@ -357,7 +357,7 @@ def _(spark, d):
     """Slippage and drawdown are arithmetic of the price, so SQL can repeat them."""
     cents = int_div(F.col("price_fp"), 10_000)
     rows = R.with_running_notional(order_intents(spark, d)).withColumns(
-        {"slip": F.pmod(cents, F.lit(100)) / 1000, "drawdown_pct": F.pmod(cents, F.lit(7000)) / 100}
+        {"slip": F.pmod(cents, F.lit(100)) / 100, "drawdown_pct": F.pmod(cents, F.lit(7000)) / 100}
     )
     rows = R.cumulative(rows, [], ["ts_ns", "order_id"], F.col("slip"), "slippage_bp")
     rows = rows.withColumn("slippage_bp", F.col("slippage_bp") - F.col("slip"))

@@ -241,3 +241,96 @@ norm AS (
   FROM ne
 )"""
 )
+
+
+# Control heads with the multipliers that spread their values over the rows.
+HEADS = [
+    ("place", 7, 100.0), ("modify", 13, 100.0), ("cancel", 29, 100.0), ("side", 19, 100.0), ("size", 23, 100.0),
+    ("urgency", 3, 100.0), ("regime_uncertainty", 31, 100.0), ("adversarial_drift", 41, 50.0),
+]
+
+
+def model_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with a mixing number z in 0..99 from which model outputs and states are worked out."""
+    k = int_div(F.col("qty_fp"), 100_000_000) - 1
+    z = F.pmod(k * 17 + F.col("symbol_id") * 5, F.lit(100))
+    return market_events(spark, folder).withColumns({"ts_ns": F.col("ts_exchange_ns"), "z": z.cast("bigint")})
+
+
+def control_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Long control rows (seq, ts_ns, symbol_id, venue_id, z, head_name, value, confidence)."""
+    def head(name: str, times: int, scale: float):
+        value = F.pmod(F.col("z") * times, F.lit(100)) / F.lit(scale)
+        if name == "adversarial_drift":
+            confidence = F.pmod(F.col("z") * 43, F.lit(100)) / F.lit(30.0)
+        elif name == "regime_uncertainty":
+            confidence = F.lit(0.4) + F.pmod(F.col("z") * 37, F.lit(100)) / F.lit(160.0)
+        else:
+            confidence = F.lit(0.9)
+        return F.struct(F.lit(name).alias("head_name"), value.alias("value"), confidence.alias("confidence"))
+
+    heads = F.array(*[head(*h) for h in HEADS])
+    return model_events(spark, folder).select(
+        "seq", "ts_ns", "symbol_id", "venue_id", "z", F.inline(heads)
+    )
+
+
+def policy_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with every column the policy reads: signals, gate decision, venue, risk."""
+    from bookweave.operators.gate import coherence_gate, coherence_metrics, control_signals
+
+    controls = control_rows(spark, folder)
+    keys = ["seq", "ts_ns", "symbol_id", "venue_id", "z"]
+    both = control_signals(controls, keys).join(coherence_metrics(controls, keys), keys)
+    gated = coherence_gate(both.withColumn("regime", F.col("venue_id")))
+    z = F.col("z")
+    return gated.withColumns(
+        {
+            "partition_hash": F.lit("fallback-no-hash"),
+            "kill_active": z == 3,
+            "venue_halted": z == 5,
+            "venue_healthy": z != 7,
+            "slippage_bp": F.pmod(z, F.lit(10)) * F.lit(0.6),
+            "order_rate_ratio": F.pmod(z * 3, F.lit(100)) / F.lit(100.0),
+            "cancel_rate_ratio": F.pmod(z * 11, F.lit(100)) / F.lit(100.0),
+        }
+    )
+
+
+_HEAD_COLUMNS = ", ".join(f"(z * {m} % 100) / {s}::DOUBLE AS {n}_v" for n, m, s in HEADS)
+_SIGNALS = ", ".join(
+    f"{n}_v AS {n if n in ('regime_uncertainty', 'adversarial_drift') else n + '_signal'}" for n, _, _ in HEADS
+)
+POLICY_SQL = (
+    ME_SQL
+    + f""",
+mo AS (SELECT *, ts_exchange_ns AS ts_ns, ((qty_fp // 100000000 - 1) * 17 + symbol_id * 5) % 100 AS z FROM me),
+hd AS (SELECT *, {_HEAD_COLUMNS}, 0.4::DOUBLE + (z * 37 % 100) / 160.0::DOUBLE AS mincut, (z * 43 % 100) / 30.0::DOUBLE AS cusum,
+   (z * 41 % 100) / 50.0::DOUBLE AS drift, venue_id AS regime FROM mo),
+th AS (SELECT *, CASE regime WHEN 0 THEN 0.3::DOUBLE WHEN 1 THEN 0.5 ELSE 0.8 END AS t_m, CASE regime WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0 ELSE 0.5 END AS t_d,
+   CASE regime WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 4.0 ELSE 2.0 END AS t_c FROM hd),
+gt0 AS (SELECT *, list_filter([CASE WHEN mincut < t_m THEN printf('mincut %.6f < threshold %.1f', mincut, t_m) END,
+   CASE WHEN drift > t_d THEN printf('drift %.6f > threshold %.1f', drift, t_d) END,
+   CASE WHEN cusum > t_c THEN printf('cusum %.6f > threshold %.1f', cusum, t_c) END], lambda x: x IS NOT NULL) AS reasons FROM th),
+ctx AS (SELECT *, {_SIGNALS}, len(reasons) = 0 AS allow_act, len(reasons) = 0 AS allow_write, CAST(floor(mincut * 1000) AS BIGINT) AS mincut_value,
+   z = 3 AS kill_active, z = 5 AS venue_halted, z <> 7 AS venue_healthy, (z % 10) * 0.6::DOUBLE AS slippage_bp,
+   (z * 3 % 100) / 100.0::DOUBLE AS order_rate_ratio, (z * 11 % 100) / 100.0::DOUBLE AS cancel_rate_ratio FROM gt0),
+ru AS (SELECT *,
+   CASE WHEN kill_active THEN 'kill_switch' WHEN venue_halted OR NOT venue_healthy THEN 'venue_health' WHEN NOT allow_act THEN 'coherence_gate'
+        WHEN regime_uncertainty > 0.7 AND size_signal > 0.5 THEN 'regime_uncertainty' WHEN adversarial_drift > 0.6 THEN 'adversarial_drift'
+        WHEN slippage_bp > 5 THEN 'slippage_drift' WHEN order_rate_ratio > 0.9 OR cancel_rate_ratio > 0.9 THEN 'rate_throttle'
+        WHEN greatest(place_signal, modify_signal, cancel_signal) < 0.1 THEN 'no_signal' END AS rule,
+   CASE WHEN urgency_signal > 0.8 THEN 'ioc' WHEN urgency_signal > 0.5 THEN 'marketable_limit' ELSE 'limit' END AS ot,
+   CASE WHEN side_signal > 0.5 THEN 0 ELSE 1 END AS a_side,
+   CAST(round(greatest(0.01, least(1.0, size_signal)) * 1000000) AS BIGINT) AS a_qty FROM ctx),
+dc AS (SELECT *, CASE WHEN rule = 'rate_throttle' THEN 'throttle' WHEN rule IS NOT NULL THEN 'hold'
+     WHEN place_signal >= modify_signal AND place_signal >= cancel_signal THEN 'place' WHEN modify_signal >= cancel_signal THEN 'modify' ELSE 'cancel' END AS action_type,
+   CASE rule WHEN 'kill_switch' THEN 'Kill switch is active -- all trading halted'
+     WHEN 'venue_health' THEN CASE WHEN venue_halted THEN 'Venue is halted' ELSE 'Venue is unhealthy' END
+     WHEN 'coherence_gate' THEN 'Coherence blocked action: ' || array_to_string(reasons, '; ')
+     WHEN 'regime_uncertainty' THEN printf('Regime uncertainty %.3f > 0.7 with upsize signal %.3f', regime_uncertainty, size_signal)
+     WHEN 'adversarial_drift' THEN printf('Adversarial drift %.3f > 0.6', adversarial_drift)
+     WHEN 'slippage_drift' THEN printf('Cumulative slippage %.2fbp > 5bp', slippage_bp)
+     WHEN 'rate_throttle' THEN printf('Rate limit approaching: orders=%.2f, cancels=%.2f', order_rate_ratio, cancel_rate_ratio)
+     WHEN 'no_signal' THEN 'All control signals below threshold' END AS detail FROM ru)"""
+)
