@@ -58,7 +58,8 @@ def with_chunks(df: DataFrame, time: str, tie: str | None = None, chunks: int |
         placed = placed.withColumn(CHUNK, F.lit(0.0))
     fine = F.lit(0).cast("bigint")
     hot = [c for c, times in repeated.items() if times > 1]
-    if hot and tie is not None:
+    numeric = tie is not None and df.schema[tie].dataType.typeName() in ("long", "integer", "double", "float")
+    if hot and numeric:
         inner = (
             placed.filter(F.col(_POS).isin(hot))
             .groupBy(_POS)

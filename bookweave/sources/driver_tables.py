@@ -334,3 +334,68 @@ dc AS (SELECT *, CASE WHEN rule = 'rate_throttle' THEN 'throttle' WHEN rule IS N
      WHEN 'rate_throttle' THEN printf('Rate limit approaching: orders=%.2f, cancels=%.2f', order_rate_ratio, cancel_rate_ratio)
      WHEN 'no_signal' THEN 'All control signals below threshold' END AS detail FROM ru)"""
 )
+
+
+def graph_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Market events on a coarse price grid (so that levels are shared), with session markers and
+    venue status rows in place of the two highest quantities."""
+    k = int_div(F.col("qty_fp"), 100_000_000) - 1
+    cents = int_div(F.col("price_fp") - 10_000_000_000, 500 * 2500)
+    return market_events(spark, folder).withColumns(
+        {
+            "price_fp": F.lit(10_000_000_000) + cents * 1_000_000,
+            "event_type": F.when(k == 98, 5).when(k == 99, 6).otherwise(F.col("event_type")),
+            "flags": F.when(k == 99, F.col("symbol_id")).otherwise(F.lit(0)),
+        }
+    )
+
+
+GRAPH_SQL = (
+    ME_SQL
+    + """,
+ge AS (SELECT * REPLACE (10000000000 + ((price_fp - 10000000000) // 1250000) * 1000000 AS price_fp,
+   CASE qty_fp WHEN 9900000000 THEN 5 WHEN 10000000000 THEN 6 ELSE event_type END AS event_type, CASE WHEN qty_fp = 10000000000 THEN symbol_id ELSE 0 END AS flags) FROM me),
+g1 AS (SELECT *, 'pl:' || symbol_id || ':' || venue_id || ':' || price_fp || ':' || side AS level FROM ge),
+g2 AS (SELECT *, CASE WHEN order_id_hash IS NOT NULL AND event_type < 4 THEN last_value(CASE WHEN event_type = 0 THEN {'e': event_id, 'l': level} END IGNORE NULLS)
+     OVER (PARTITION BY order_id_hash, event_type < 4 ORDER BY ts_exchange_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS kn,
+   sum(CASE WHEN event_type = 3 THEN qty_fp ELSE 0 END) OVER (PARTITION BY order_id_hash ORDER BY ts_exchange_ns, seq) AS tr FROM g1),
+g3 AS (SELECT *, CASE WHEN event_type = 0 OR (event_type = 1 AND kn IS NOT NULL) THEN {'q': qty_fp, 's': tr} WHEN event_type = 2 AND kn IS NOT NULL THEN {'q': 0, 's': tr} END AS st FROM g2),
+g4 AS (SELECT *, last_value(st IGNORE NULLS) OVER (PARTITION BY order_id_hash ORDER BY ts_exchange_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ls FROM g3),
+lk AS (SELECT event_id, ts_exchange_ns, seq, venue_id, symbol_id, event_type, side, price_fp, qty_fp, order_id_hash, flags, level, kn.e AS order_event, kn.l AS order_level,
+   CASE WHEN kn IS NOT NULL THEN CAST(greatest(0, ls.q - (tr - CASE WHEN event_type = 3 THEN qty_fp ELSE 0 END - ls.s)) AS BIGINT) END AS order_depth FROM g4),
+lc AS (SELECT CASE WHEN event_type IN (0, 4) THEN level WHEN event_type IN (1, 2, 3) AND order_event IS NOT NULL THEN order_level END AS level_id, ts_exchange_ns, seq,
+   CASE event_type WHEN 0 THEN qty_fp WHEN 1 THEN qty_fp - order_depth WHEN 2 THEN -order_depth WHEN 3 THEN -qty_fp END AS change,
+   CASE WHEN event_type = 4 THEN qty_fp END AS snapshot, CASE WHEN event_type = 0 THEN qty_fp END AS refill, CASE event_type WHEN 2 THEN order_depth WHEN 3 THEN qty_fp END AS spent
+   FROM lk WHERE event_type IN (0, 4) OR (event_type IN (1, 2, 3) AND order_event IS NOT NULL)),
+l1 AS (SELECT *, sum(CASE WHEN snapshot IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY level_id ORDER BY ts_exchange_ns, seq) AS isl FROM lc),
+l2 AS (SELECT *, sum(coalesce(snapshot, change)) OVER (PARTITION BY level_id, isl ORDER BY ts_exchange_ns, seq) AS c, sum(coalesce(sign(change), 0)) OVER (PARTITION BY level_id ORDER BY ts_exchange_ns, seq) AS qc FROM l1),
+lh AS (SELECT *, CAST(c - least(0, min(c) OVER (PARTITION BY level_id, isl ORDER BY ts_exchange_ns, seq)) AS BIGINT) AS depth,
+   CAST(qc - least(0, min(qc) OVER (PARTITION BY level_id ORDER BY ts_exchange_ns, seq)) AS BIGINT) AS queue_length FROM l2),
+le AS (SELECT level_id, coalesce(list_reduce(list_prepend(0.0::DOUBLE, list(refill::DOUBLE ORDER BY ts_exchange_ns, seq) FILTER (refill IS NOT NULL)), lambda a, x: 0.1 * x + 0.9 * a), 0) AS refill_rate,
+   coalesce(list_reduce(list_prepend(0.0::DOUBLE, list(spent::DOUBLE ORDER BY ts_exchange_ns, seq) FILTER (spent IS NOT NULL)), lambda a, x: 0.1 * x + 0.9 * a), 0) AS depletion_rate FROM lc GROUP BY 1),
+ls AS (SELECT level_id, arg_max(depth, seq) AS depth, arg_max(queue_length, seq) AS queue_length, min(ts_exchange_ns) AS created_at_ns, max(ts_exchange_ns) AS updated_at_ns,
+   split_part(level_id, ':', 2)::INT AS symbol_id, split_part(level_id, ':', 3)::INT AS venue_id, split_part(level_id, ':', 4)::BIGINT AS price_fp, split_part(level_id, ':', 5)::INT AS side FROM lh GROUP BY 1),
+os AS (SELECT CASE WHEN event_type = 0 THEN event_id ELSE order_event END AS order_event,
+   arg_max(CASE WHEN event_type < 2 THEN qty_fp WHEN event_type = 2 THEN 0 ELSE greatest(0, order_depth - qty_fp) END, seq) AS depth, count(*) FILTER (event_type = 1) AS modify_count,
+   max(CASE WHEN event_type = 2 THEN 1 ELSE 0 END) AS cancel_hazard, max(CASE WHEN event_type = 3 THEN 1 ELSE 0 END) AS fill_hazard, min(ts_exchange_ns) AS created_at_ns, max(ts_exchange_ns) AS updated_at_ns
+   FROM lk WHERE event_type = 0 OR order_event IS NOT NULL GROUP BY 1),
+vs AS (SELECT venue_id, arg_max(flags, seq) AS flags, max(ts_exchange_ns) AS updated_at_ns FROM lk WHERE event_type = 6 GROUP BY 1),
+nodes AS (
+  SELECT 'sym:' || symbol_id AS id, 0 AS kind, min(ts_exchange_ns) AS created_at_ns, min(ts_exchange_ns) AS updated_at_ns, 0::DOUBLE AS depth, 0::DOUBLE AS cancel FROM lk WHERE event_type IN (0, 3, 4, 5) GROUP BY symbol_id
+  UNION ALL SELECT 'ven:' || l.venue_id, 1, min(ts_exchange_ns), coalesce(max(v.updated_at_ns), min(ts_exchange_ns)), 0, 0 FROM lk l LEFT JOIN vs v ON v.venue_id = l.venue_id WHERE event_type IN (0, 3, 4, 6) GROUP BY l.venue_id
+  UNION ALL SELECT level_id, 2, created_at_ns, updated_at_ns, depth, 0 FROM ls
+  UNION ALL SELECT 'ord:' || order_event, 3, created_at_ns, updated_at_ns, depth, cancel_hazard FROM os
+  UNION ALL SELECT 'ev:' || event_id, 5, ts_exchange_ns, ts_exchange_ns, 0, 0 FROM lk WHERE event_type <= 4
+  UNION ALL SELECT 'trd:' || event_id, 4, ts_exchange_ns, ts_exchange_ns, qty_fp, 0 FROM lk WHERE event_type = 3
+  UNION ALL SELECT 'tb:' || event_id, 7, ts_exchange_ns, ts_exchange_ns, 0, 0 FROM lk WHERE event_type = 5
+  UNION ALL SELECT 'rg:' || event_id, 8, ts_exchange_ns, ts_exchange_ns, 0, 0 FROM lk WHERE event_type = 5),
+edges AS (SELECT 'e:' || kind || ':' || event_id AS id, kind, source_id, target_id, event_type, ts_exchange_ns AS created_at_ns FROM (
+  SELECT event_id, event_type, ts_exchange_ns, 0 AS kind, 'ord:' || event_id AS source_id, level AS target_id FROM lk WHERE event_type = 0
+  UNION ALL SELECT event_id, event_type, ts_exchange_ns, 2, 'ev:' || event_id, CASE event_type WHEN 0 THEN 'ord:' || event_id WHEN 3 THEN 'trd:' || event_id ELSE level END FROM lk WHERE event_type IN (0, 3, 4)
+  UNION ALL SELECT event_id, event_type, ts_exchange_ns, 6, CASE event_type WHEN 0 THEN 'ord:' WHEN 3 THEN 'trd:' ELSE 'tb:' END || event_id, 'sym:' || symbol_id FROM lk WHERE event_type IN (0, 3, 5)
+  UNION ALL SELECT event_id, event_type, ts_exchange_ns, 7, CASE event_type WHEN 0 THEN 'ord:' ELSE 'trd:' END || event_id, 'ven:' || venue_id FROM lk WHERE event_type IN (0, 3)
+  UNION ALL SELECT event_id, event_type, ts_exchange_ns, 4, 'ev:' || event_id, 'ord:' || order_event FROM lk WHERE event_type = 1 AND order_event IS NOT NULL
+  UNION ALL SELECT event_id, event_type, ts_exchange_ns, 5, 'ord:' || order_event, 'ev:' || event_id FROM lk WHERE event_type = 2 AND order_event IS NOT NULL
+  UNION ALL SELECT event_id, event_type, ts_exchange_ns, 3, 'trd:' || event_id, 'ord:' || order_event FROM lk WHERE event_type = 3 AND order_event IS NOT NULL
+  UNION ALL SELECT event_id, event_type, ts_exchange_ns, 10, 'tb:' || event_id, 'rg:' || event_id FROM lk WHERE event_type = 5))"""
+)
