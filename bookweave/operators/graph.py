@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookweave.functions.scalars import level_key, order_key, symbol_key, venue_key
-from bookweave.operators.ordered import count_of, last_of, reflected_sum, running, sum_of, with_chunks
+from bookweave.operators.ordered import count_of, last_of, reflected_sum, running, sum_of
 from bookweave.schemas import EDGE, EVENT, NODE, PROP
 
 ORDER = ["ts_exchange_ns", "seq"]
-TYPE = F.col  # shorthand below reads better with the column name spelled out
 
 
 def _is(*names: str) -> Column:
@@ -39,7 +38,7 @@ def with_orders(events: DataFrame) -> DataFrame:
     can_refer = F.col("order_id_hash").isNotNull() & _is("NewOrder", "ModifyOrder", "CancelOrder", "Trade")
     traded = F.when(_is("Trade"), F.col("qty_fp")).otherwise(F.lit(0).cast("bigint"))
     opened = F.when(_is("NewOrder"), F.struct(F.col("event_id").alias("order_event"), "level"))
-    rows = with_chunks(slim, *ORDER)
+    rows = slim
     hashed = running(
         rows.filter(can_refer), ["order_id_hash"], ORDER, known=last_of(opened), _traded=sum_of(traded)
     )
@@ -52,12 +51,12 @@ def with_orders(events: DataFrame) -> DataFrame:
     since = F.col("_traded") - traded - F.col("_set.s")
     hashed = hashed.withColumn(
         "order_depth", F.when(known, F.greatest(F.lit(0).cast("bigint"), F.col("_set.q") - since))
-    ).drop("_set", "_traded")
+    ).drop("_set", "_traded", "_chunk")
     plain = rows.filter(~F.coalesce(can_refer, F.lit(False)))
     both = hashed.unionByName(plain, allowMissingColumns=True)
     return both.select(
         "*", F.col("known.order_event").alias("order_event"), F.col("known.level").alias("order_level")
-    ).drop("known", "_chunk")
+    ).drop("known")
 
 
 def deltas(linked: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Running values over an event order, spread over the cluster whatever the key skew.
 
-A window over ``(key)`` alone puts every row of a hot key into one task. Here the time axis is first
-cut at its quantiles into equal-sized pieces ("chunks"), so a ``(key, chunk)`` group never holds more
-than about ``rows / shuffle_partitions`` rows. A running value is then
+A window over ``(key)`` alone puts every row of a key into one task. That is fine for keys that hold
+less than a fair share (``rows / shuffle_partitions``) and fatal for hot ones. So the hot keys are found
+first (a mergeable frequent-items sketch), and only for them time is cut at its quantiles into
+equal-sized pieces ("chunks"). A ``(key, chunk)`` group then never holds more than about a fair share.
+For a hot key a running value is
 
     combine(carry from the key's earlier chunks, running value inside the chunk)
 
-where the carry comes from one small row per ``(key, chunk)``. Rows are shuffled once on
-``(key, chunk)``; the summary is pre-aggregated on the map side.
+where the carry comes from one small row per hot ``(key, chunk)``. Rows are shuffled once on
+``(key, chunk)``; without hot keys the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -25,28 +27,46 @@ from bookweave.session import cut_lineage, shuffle_width
 
 CHUNK = "_chunk"
 _POS = "_pos"
+_COLD = -1  # chunk of every row whose key is not hot
 
 
-def with_chunks(df: DataFrame, time: str, tie: str | None = None, chunks: int | None = None) -> DataFrame:
-    """Add the chunk number of every row: quantile pieces of the integer column ``time``.
+def with_chunks(
+    df: DataFrame, keys: list[str], time: str, tie: str | None = None, chunks: int | None = None
+) -> DataFrame:
+    """Add the chunk number of every row: -1 for ordinary keys, the quantile piece of the integer
+    column ``time`` for hot ones (all rows are hot when there are no keys).
 
-    One column-pruned pass gives the cut points (their number is the shuffle setting, not the data).
-    Cut points that come out equal mean one single time holds more than a piece; rows of such a time
-    are cut again by ``tie``. Cut points only balance the work: any monotone cut gives the same
-    results, so an approximate quantile is enough.
+    One column-pruned pass gives the cut points and the hot keys; both lists are as long as the shuffle
+    setting, not the data. Cut points that come out equal mean one single time holds more than a piece;
+    rows of such a time are cut again by ``tie``. Cut points and hot keys only balance the work: any
+    cut that is monotone in time gives the same results, so approximate ones do.
     """
     spark = df.sparkSession
+    if CHUNK in df.columns:
+        df = df.drop(CHUNK)
     n = chunks or shuffle_width(spark)
     probabilities = [i / n for i in range(1, n)]
     accuracy = max(10_000, 10 * n)
-    origin = df.agg(
-        F.min(time).alias("lo"),
-        F.percentile_approx(time, probabilities, accuracy).alias("cuts"),
-    ).first()
-    if origin is None or origin["lo"] is None:
-        return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
-    lo = int(origin["lo"])
-    repeated = Counter(float(int(c) - lo) for c in origin["cuts"])
+    key_hash = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+    tracked = min(1_000_000, max(10_000, 8 * n))
+    found = (
+        df.select(F.col(time).alias("t"), key_hash.alias("h"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.min("t").alias("lo"),
+            F.percentile_approx("t", probabilities, accuracy).alias("cuts"),
+            (F.expr(f"approx_top_k(h, {min(tracked, 2 * n)}, {tracked})") if keys and not chunks else F.lit(None)).alias("top"),
+        )
+        .first()
+    )
+    share = found["rows"] / n
+    everything = not keys or chunks is not None
+    hot_keys = [] if everything else [r["item"] for r in found["top"] or [] if r["count"] > share]
+    note = {"keys": keys, "time": time, "split": bool(everything or hot_keys)}
+    if found["lo"] is None or not note["split"]:
+        return df.withColumn(CHUNK, F.lit(_COLD).cast("bigint").alias(CHUNK, metadata=note))
+    lo = int(found["lo"])
+    repeated = Counter(float(int(c) - lo) for c in found["cuts"])
     cuts = sorted(c for c in repeated if c > 0)
     placed = df.withColumn(_POS, (F.col(time) - F.lit(lo)).cast("double"))
     splits = [float("-inf"), *cuts, float("inf")]
@@ -57,11 +77,11 @@ def with_chunks(df: DataFrame, time: str, tie: str | None = None, chunks: int |
     else:
         placed = placed.withColumn(CHUNK, F.lit(0.0))
     fine = F.lit(0).cast("bigint")
-    hot = [c for c, times in repeated.items() if times > 1]
+    hot_times = [c for c, times in repeated.items() if times > 1]
     numeric = tie is not None and df.schema[tie].dataType.typeName() in ("long", "integer", "double", "float")
-    if hot and numeric:
+    if hot_times and numeric:
         inner = (
-            placed.filter(F.col(_POS).isin(hot))
+            placed.filter(F.col(_POS).isin(hot_times))
             .groupBy(_POS)
             .agg(
                 F.min(time).alias("a"),
@@ -76,9 +96,38 @@ def with_chunks(df: DataFrame, time: str, tie: str | None = None, chunks: int |
                 literal = F.array(*[F.lit(b) for b in bounds])
                 rank = F.size(F.filter(literal, lambda b: b < F.col(tie))).cast("bigint")
                 fine = F.when(F.col(_POS) == F.lit(row[_POS]), rank).otherwise(fine)
-    return placed.withColumn(
-        CHUNK, F.col(CHUNK).cast("bigint") * F.lit(n + 1) + fine
-    ).drop(_POS)
+    chunk = F.col(CHUNK).cast("bigint") * F.lit(n + 1) + fine
+    if not everything:
+        chunk = F.when(key_hash.isin(hot_keys), chunk).otherwise(F.lit(_COLD).cast("bigint"))
+    return placed.withColumn(CHUNK, chunk.alias(CHUNK, metadata=note)).drop(_POS)
+
+
+def _chunked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Reuse chunks cut for the same time and for (a part of) the same keys, else cut anew: chunks of
+    other keys need not be monotone inside these."""
+    if CHUNK in df.columns:
+        note = df.schema[CHUNK].metadata
+        if note.get("time") == order[0] and note.get("keys") is not None and set(note["keys"]) <= set(keys):
+            return df
+    return with_chunks(df, keys, order[0], order[1] if len(order) > 1 else None)
+
+
+def _split(df: DataFrame) -> bool:
+    return bool(df.schema[CHUNK].metadata.get("split", True))
+
+
+def _keep_note(df: DataFrame, source: DataFrame, combined: bool = False) -> DataFrame:
+    note = dict(source.schema[CHUNK].metadata)
+    return df.withMetadata(CHUNK, {**note, "combined": combined or bool(note.get("combined"))})
+
+
+def _uncombined(df: DataFrame) -> DataFrame:
+    """A combined running value reads its input twice (rows and carry). Stacking them would double the
+    work at every step, so the result of one is checkpointed before the next builds on it."""
+    if CHUNK in df.columns and df.schema[CHUNK].metadata.get("combined"):
+        note = {**df.schema[CHUNK].metadata, "combined": False}
+        return cut_lineage(df).withMetadata(CHUNK, note)
+    return df
 
 
 @dataclass(frozen=True)
@@ -149,12 +198,20 @@ def lag_of(value: Column) -> Running:
 def running(df: DataFrame, keys: list[str], order: list[str], **values: Running) -> DataFrame:
     """Add the running values to ``df``. ``order`` must be a total order inside a key and start
     with an integer time; chunks are added when missing."""
-    if CHUNK not in df.columns:
-        df = with_chunks(df, order[0], order[1] if len(order) > 1 else None)
+    df = _chunked(_uncombined(df), keys, order)
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    if not _split(df):
+        zero = F.lit(0)
+        plain = {
+            n: F.coalesce(v.local(inside), zero) if v.kind in ("sum", "count") else v.local(inside)
+            for n, v in values.items()
+        }
+        return _keep_note(df.select("*", *[c.alias(n) for n, c in plain.items()]), df)
     across = W.partitionBy(*keys).orderBy(CHUNK)
-    carry = df.groupBy(*keys, CHUNK).agg(
-        *[v.total(order).alias(f"_t_{n}") for n, v in values.items()]
+    carry = (
+        df.filter(F.col(CHUNK) != _COLD)
+        .groupBy(*keys, CHUNK)
+        .agg(*[v.total(order).alias(f"_t_{n}") for n, v in values.items()])
     )
     carry = carry.select(
         *keys, CHUNK, *[v.carry(F.col(f"_t_{n}"), across).alias(f"_c_{n}") for n, v in values.items()]
@@ -164,7 +221,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], **values: Running)
     out = joined.withColumns(
         {n: v.combine(F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, v in values.items()}
     )
-    return out.drop(*[f"_{p}_{n}" for n in values for p in "lc"])
+    return _keep_note(out.drop(*[f"_{p}_{n}" for n in values for p in "lc"]), df, combined=True)
 
 
 def unwrap(df: DataFrame, *names: str) -> DataFrame:
@@ -180,27 +237,30 @@ def reflected_sum(
     Closed form: ``C - least(0, min C)`` with C the plain running sum, so a chunk is summed up by its
     total and its lowest prefix. ``total_name`` also keeps C.
     """
-    if CHUNK not in df.columns:
-        df = with_chunks(df, order[0], order[1] if len(order) > 1 else None)
+    df = _chunked(_uncombined(df), keys, order)
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    across = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     rows = df.withColumn("_sum", F.sum(delta).over(inside))
     rows = rows.withColumn("_low", F.min("_sum").over(inside))
+    if not _split(df):
+        plain = {name: F.col("_sum") - F.least(F.lit(0), F.col("_low"))}
+        if total_name:
+            plain[total_name] = F.col("_sum")
+        return _keep_note(rows.withColumns(plain).drop("_sum", "_low"), df)
+    across = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carry = (
-        rows.groupBy(*keys, CHUNK)
+        rows.filter(F.col(CHUNK) != _COLD)
+        .groupBy(*keys, CHUNK)
         .agg(F.sum(delta).alias("_tot"), F.min("_low").alias("_min"))
         .withColumn("_before", F.coalesce(F.sum("_tot").over(across), F.lit(0)))
         .withColumn("_low_before", F.min(F.col("_before") + F.col("_min")).over(across))
         .select(*keys, CHUNK, "_before", "_low_before")
     )
-    total = F.col("_before") + F.col("_sum")
-    lowest = F.least(F.lit(0), F.col("_low_before"), F.col("_before") + F.col("_low"))
+    before = F.coalesce("_before", F.lit(0))
+    total = before + F.col("_sum")
+    lowest = F.least(F.lit(0), F.col("_low_before"), before + F.col("_low"))
     values = {name: total - lowest, **({total_name: total} if total_name else {})}
-    return (
-        rows.join(carry, [*keys, CHUNK], "left")
-        .withColumns(values)
-        .drop("_sum", "_low", "_before", "_low_before")
-    )
+    joined = rows.join(carry, [*keys, CHUNK], "left").withColumns(values)
+    return _keep_note(joined.drop("_sum", "_low", "_before", "_low_before"), df, combined=True)
 
 
 def rolling_count(
@@ -221,7 +281,7 @@ def rolling_count(
         (F.col(time) - F.lit(width)).alias("_at"),
         F.lit(0).alias("_kind"),
     )
-    both = with_chunks(real.unionByName(probes), "_at", tie)
+    both = with_chunks(real.unionByName(probes), keys, "_at", tie)
     # a probe sorts before every row of the same instant; the tie column keeps the order total
     both = _retie(both, tie)
     counted = running(both, keys, ["_at", "_kind", tie], _n=sum_of(F.col("_hit")))
@@ -242,7 +302,8 @@ def _retie(df: DataFrame, tie: str) -> DataFrame:
     """The fine cut of a hot instant follows ``tie``, but here ``_kind`` sorts before it: undo the
     fine cut so chunks stay monotone in (time, kind, tie)."""
     n = shuffle_width(df.sparkSession) + 1
-    return df.withColumn(CHUNK, F.col(CHUNK) - F.pmod(F.col(CHUNK), F.lit(n)))
+    coarse = F.when(F.col(CHUNK) == _COLD, F.col(CHUNK)).otherwise(F.col(CHUNK) - F.pmod(F.col(CHUNK), F.lit(n)))
+    return _keep_note(df.withColumn(CHUNK, coarse), df)
 
 
 def fold_in_rounds(
@@ -292,7 +353,7 @@ def fold_in_rounds(
     biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if biggest <= rows_per_round:
         return split(df.groupBy(*keys).applyInPandas(first_round, schema))
-    work = with_chunks(df, order[0], order[1], chunks=2 * -(-biggest // rows_per_round))
+    work = with_chunks(df, keys, order[0], order[1], chunks=2 * -(-biggest // rows_per_round))
     held: DataFrame | None = None
     outputs: DataFrame | None = None
     for (number,) in sorted(work.select(CHUNK).distinct().collect()):

@@ -17,6 +17,7 @@ from bookweave.operators.ordered import (
     sum_of,
 )
 from bookweave.schemas import INGEST_SCALE, RISK_SCALE
+from bookweave.session import cut_lineage
 
 FILL_ORDER = ["ts_ns", "seq"]
 
@@ -41,6 +42,7 @@ def attribute_fills(orders: DataFrame, fills: DataFrame, keys: list[str]) -> Dat
         # released before this fill = submitted - held before it
         F.col("_submitted") - F.coalesce(F.col("_before.v"), F.lit(0)) + 1
     ))
+    ranked = cut_lineage(ranked.select(*keys, "_kind", "_rank", "_fill", "_order", "_before"))
     left = ranked.filter((F.col("_kind") == 1) & (F.col("_before.v") > 0)).select(*keys, "_rank", "_fill")
     right = ranked.filter(is_order).select(*keys, "_rank", "_order")
     return left.join(right, [*keys, "_rank"]).select(

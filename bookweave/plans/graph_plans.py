@@ -9,6 +9,7 @@ from bookweave.operators import graph_queries as GQ
 from bookweave.operators.topk import newest_per_key  # noqa: F401
 from bookweave.plans.catalog import query
 from bookweave.schemas import EDGE, PROP
+from bookweave.session import cut_lineage
 from bookweave.sources.driver_tables import GRAPH_SQL, graph_events
 
 GR = f"WITH {GRAPH_SQL} "
@@ -20,10 +21,17 @@ def linked(spark, d):
 
 
 def graph(spark, d):
-    rows = linked(spark, d)
+    """Node and edge tables; the linked events feed both, so they are written once."""
+    rows = cut_lineage(linked(spark, d))
     return G.all_nodes(rows), G.all_edges(rows)
 
 
+def stored_graph(spark, d):
+    """The same tables written out, for questions that read them several times."""
+    nodes, edges = graph(spark, d)
+    return cut_lineage(nodes), cut_lineage(edges)
+
+
 @query("order_of_event", "C2 C3", GR + "SELECT seq, order_event, order_level, order_depth FROM lk WHERE event_type IN (1, 2, 3)")
 def _(spark, d):
     return linked(spark, d).filter("event_type IN (1, 2, 3)").select("seq", "order_event", "order_level", "order_depth")
@@ -152,7 +160,7 @@ DAY5 = 432_000_000_000_000
  SELECT 'nodes' AS what, count(*) AS n FROM fr UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id IN (SELECT id FROM fr) OR target_id IN (SELECT id FROM fr)""",
 )
 def _(spark, d):
-    return GQ.state_window(*graph(spark, d), END, DAY5)
+    return GQ.state_window(*stored_graph(spark, d), END, DAY5)
 
 
 MEMBERS = """, mb AS (SELECT DISTINCT target_id AS symbol, source_id AS id FROM edges WHERE kind = 6 UNION SELECT id, id FROM nodes WHERE kind = 0),
@@ -161,7 +169,7 @@ MEMBERS = """, mb AS (SELECT DISTINCT target_id AS symbol, source_id AS id FROM
 
 @query("symbol_subgraph", "I14", GR + MEMBERS + "SELECT symbol, id, 'node' AS what FROM mb UNION ALL SELECT symbol, id, 'edge' FROM ind")
 def _(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     members = GQ.symbol_members(nodes, edges)
     parts = GQ.induced_edges(edges, members).select("symbol", "id", F.lit("edge").alias("what"))
     return members.select("symbol", "id", F.lit("node").alias("what")).unionByName(parts)
@@ -173,7 +181,7 @@ def _(spark, d):
     GR + MEMBERS + "SELECT m.symbol, round(coalesce(e.n, 0) / m.n::DOUBLE, 9) AS score FROM (SELECT symbol, count(*) AS n FROM mb GROUP BY 1) m LEFT JOIN (SELECT symbol, count(*) AS n FROM ind GROUP BY 1) e USING (symbol)",
 )
 def _(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     return GQ.connectivity(edges, GQ.symbol_members(nodes, edges)).select("symbol", F.round("score", 9).alias("score"))
 
 
@@ -246,7 +254,7 @@ def seeds(edges):
 
 
 def hood(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     return (nodes, edges, *GQ.neighborhoods(edges, seeds(edges), 2))
 
 
@@ -289,13 +297,13 @@ def _(spark, d):
     GR + EXP + "SELECT 'nodes' AS what, count(*) AS n FROM ex UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id IN (SELECT id FROM ex) OR target_id IN (SELECT id FROM ex)",
 )
 def _(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     return GQ.removal_counts(edges, GQ.expired(nodes, NOW, KEEP))
 
 
 @query("surviving_edges", "C14", GR + EXP + "SELECT id FROM edges WHERE source_id NOT IN (SELECT id FROM ex) AND target_id NOT IN (SELECT id FROM ex)")
 def _(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = stored_graph(spark, d)
     return GQ.cascade(edges, GQ.expired(nodes, NOW, KEEP)).select("id")
 
 
@@ -306,7 +314,7 @@ def _(spark, d):
     + """SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at_ns, id) AS rn FROM nodes WHERE kind NOT IN (0, 1, 8, 9)) WHERE rn <= (SELECT CASE WHEN count(*) > 5000 THEN count(*) - 4000 ELSE 0 END FROM nodes)""",
 )
 def _(spark, d):
-    return GQ.emergency_removals(graph(spark, d)[0], 5000).select("id")
+    return GQ.emergency_removals(stored_graph(spark, d)[0], 5000).select("id")
 
 
 @query(
