@@ -13,6 +13,7 @@ from bookweave.functions.scalars import (
 )
 from bookweave.operators.ordered import lag_of, max_of, row_numbers, running, sum_of, unwrap
 from bookweave.schemas import DAY_NS, EVENT_LOG_PREFIX, HOUR_NS, SEGMENT_PREFIX, table_schema
+from bookweave.session import cut_lineage
 from bookweave.sources.frames import is_number, kind_of, parser_for
 
 EVENT_COLUMNS = [
@@ -143,7 +144,7 @@ def assign_sequence(rows: DataFrame, per: str = "feed") -> DataFrame:
     return row_numbers(rows, keys, ["received_at_ns", "frame_no", "pos"], "seq").drop("_chunk")
 
 
-def project_events(rows: DataFrame, sequenced: bool = True) -> DataFrame:
+def project_events(rows: DataFrame) -> DataFrame:
     """Levels and trades as market events. A level with quantity 0 is a cancel, else a modify."""
     kind = F.when(F.col("route") == "trade", F.lit(3)).otherwise(
         F.when(F.col("qty_fp") == 0, F.lit(2)).otherwise(F.lit(1))
@@ -176,9 +177,10 @@ def priced_rows(rows: DataFrame) -> DataFrame:
 
 
 def normalize(frames: DataFrame, symbols: DataFrame, per: str = "feed", feed: str = "default") -> DataFrame:
-    """Raw frames to market events."""
+    """Raw frames to market events. The parsed rows are written out before they are numbered, since
+    numbering reads them more than once and parsing is the dear part."""
     rows = priced_rows(resolve_symbols(flatten_frames(parse_frames(frames, feed)), symbols))
-    return project_events(assign_sequence(rows, per))
+    return project_events(assign_sequence(cut_lineage(rows.drop("data", "price", "qty")), per))
 
 
 def merge_feeds(*feeds: DataFrame) -> DataFrame:

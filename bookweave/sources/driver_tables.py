@@ -28,6 +28,19 @@ def market_events(
         raw = raw.filter(F.col("ts") >= _ntz(start_ns))
     if end_ns is not None:
         raw = raw.filter(F.col("ts") <= _ntz(end_ns))
+    return shape_events(raw)
+
+
+def event_stream(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """``events`` as a stream of market events: the same columns as the batch view."""
+    schema = table(spark, folder, "events").schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return shape_events(reader.parquet(folder))
+
+
+def shape_events(raw: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     cents = F.round(F.col("value") * 100).cast("bigint")
     base = raw.select(
@@ -169,7 +182,10 @@ intents AS (
 def raw_frames(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a raw venue frame. Quantity k+1 = 1..5 stands for the bad cases: no symbol,
     time as text, unknown kind, malformed price, and extra text digits (which must be cut off)."""
-    e = market_events(spark, folder)
+    return shape_frames(market_events(spark, folder))
+
+
+def shape_frames(e: DataFrame) -> DataFrame:
     k = int_div(F.col("qty_fp"), 100_000_000) - 1
     ms = int_div(F.col("ts_exchange_ns"), 1_000_000).cast("string")
     time = F.when(k == 1, F.concat(F.lit('"'), ms, F.lit('"'))).otherwise(ms)
@@ -252,13 +268,21 @@ HEADS = [
 
 def model_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with a mixing number z in 0..99 from which model outputs and states are worked out."""
+    return with_mixing(market_events(spark, folder))
+
+
+def with_mixing(events: DataFrame) -> DataFrame:
     k = int_div(F.col("qty_fp"), 100_000_000) - 1
     z = F.pmod(k * 17 + F.col("symbol_id") * 5, F.lit(100))
-    return market_events(spark, folder).withColumns({"ts_ns": F.col("ts_exchange_ns"), "z": z.cast("bigint")})
+    return events.withColumns({"ts_ns": F.col("ts_exchange_ns"), "z": z.cast("bigint")})
 
 
 def control_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Long control rows (seq, ts_ns, symbol_id, venue_id, z, head_name, value, confidence)."""
+    return shape_controls(model_events(spark, folder))
+
+
+def shape_controls(mixed: DataFrame) -> DataFrame:
     def head(name: str, times: int, scale: float):
         value = F.pmod(F.col("z") * times, F.lit(100)) / F.lit(scale)
         if name == "adversarial_drift":
@@ -270,16 +294,19 @@ def control_rows(spark: SparkSession, folder: str) -> DataFrame:
         return F.struct(F.lit(name).alias("head_name"), value.alias("value"), confidence.alias("confidence"))
 
     heads = F.array(*[head(*h) for h in HEADS])
-    return model_events(spark, folder).select(
+    return mixed.select(
         "seq", "ts_ns", "symbol_id", "venue_id", "z", F.inline(heads)
     )
 
 
 def policy_context(spark: SparkSession, folder: str) -> DataFrame:
     """Events with every column the policy reads: signals, gate decision, venue, risk."""
+    return shape_context(control_rows(spark, folder))
+
+
+def shape_context(controls: DataFrame) -> DataFrame:
     from bookweave.operators.gate import coherence_gate, coherence_metrics, control_signals
 
-    controls = control_rows(spark, folder)
     keys = ["seq", "ts_ns", "symbol_id", "venue_id", "z"]
     both = control_signals(controls, keys).join(coherence_metrics(controls, keys), keys)
     gated = coherence_gate(both.withColumn("regime", F.col("venue_id")))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookweave.functions.scalars import ms_to_ns
 from bookweave.schemas import table_schema
@@ -54,7 +55,7 @@ def read_frames(spark: SparkSession, path: str, venue_id: int) -> DataFrame:
 
 def stream_frames(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Frames as a stream of JSON lines ``{venue_id, received_at_ns, frame_no, data}``."""
-    schema = table_schema("raw_frames").add("frame_no", "bigint")
+    schema = table_schema("raw_frames").add("frame_no", T.LongType())
     reader = spark.readStream.schema(schema)
     for key, value in options.items():
         reader = reader.option(key, value)
