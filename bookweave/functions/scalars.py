@@ -50,7 +50,7 @@ def event_id(venue_id: Column, symbol_id: Column, seq: Column, ts_ns: Column) ->
     zero bytes."""
 
     def big_endian(value: Column, width: int) -> Column:
-        return F.right(F.lpad(F.hex(value.cast("bigint")), width, "0"), F.lit(width))
+        return F.right(F.concat(F.lit("0" * width), F.hex(value.cast("bigint"))), F.lit(width))
 
     packed = F.concat(
         big_endian(venue_id, 8),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bookweave.functions.scalars import fixed_text, sha256_of
 from bookweave.operators.ordered import count_of, fold_in_rounds, lag_of, running
+from bookweave.session import cut_lineage
 
 
 def coherence_text() -> Column:
@@ -68,7 +69,8 @@ def mint_tokens(decided: DataFrame, order: list[str]) -> DataFrame:
             "action_intent": action_text(),
         }
     )
-    counted = running(hashed, [], order, _n=count_of()).drop("_chunk")
+    # the context behind these columns is dear and the running count reads its input more than once
+    counted = running(cut_lineage(hashed), [], order, _n=count_of()).drop("_chunk")
     token = F.sha2(
         F.concat_ws(":", "coherence_hash", "policy_hash", "action_intent", F.col("_n"), F.col("ts_ns")), 256
     )

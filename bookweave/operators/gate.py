@@ -7,20 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookweave.operators.ordered import last_of, running
+from bookweave.operators.ordered import last_of, running, uncombined
 
 # Gate thresholds per regime (Calm, Normal, Volatile): min cut, max drift, max cusum.
 THRESHOLDS = [(0.3, 1.5, 5.0), (0.5, 1.0, 4.0), (0.8, 0.5, 2.0)]
 
 
-def coherence_metrics(controls: DataFrame, keys: list[str]) -> DataFrame:
-    """Gate inputs from long control rows (head_name, value, confidence), one aggregate per key."""
+def metric_columns() -> list[Column]:
+    """Gate inputs as aggregates over long control rows (head_name, value, confidence)."""
     head = F.col("head_name")
-    return controls.groupBy(*keys).agg(
+    return [
         F.coalesce(F.max(F.when(head == "regime_uncertainty", F.col("confidence"))), F.lit(0.5)).alias("mincut"),
         F.coalesce(F.max(F.when(head == "adversarial_drift", F.col("value"))), F.lit(0.0)).alias("drift"),
         F.coalesce(F.max(F.when(head == "adversarial_drift", F.col("confidence"))), F.lit(0.0)).alias("cusum"),
-    )
+    ]
+
+
+def coherence_metrics(controls: DataFrame, keys: list[str]) -> DataFrame:
+    return controls.groupBy(*keys).agg(*metric_columns())
 
 
 def coherence_gate(metrics: DataFrame, regime: str = "regime") -> DataFrame:
@@ -97,14 +101,21 @@ ACTION = (
 Rule = Callable[[], Column]
 
 
+def signal_columns() -> list[Column]:
+    """One aggregate per policy signal over long control rows; absent heads read as 0."""
+    return [
+        F.coalesce(F.max(F.when(F.col("head_name") == head, F.col("value"))), F.lit(0.0)).alias(name)
+        for head, name in HEAD_TO_SIGNAL.items()
+    ]
+
+
 def control_signals(controls: DataFrame, keys: list[str]) -> DataFrame:
-    """Long control rows to one column per policy signal; absent heads read as 0."""
-    return controls.groupBy(*keys).agg(
-        *[
-            F.coalesce(F.max(F.when(F.col("head_name") == head, F.col("value"))), F.lit(0.0)).alias(name)
-            for head, name in HEAD_TO_SIGNAL.items()
-        ]
-    )
+    return controls.groupBy(*keys).agg(*signal_columns())
+
+
+def signals_and_metrics(controls: DataFrame, keys: list[str]) -> DataFrame:
+    """Policy signals and gate inputs from one aggregate."""
+    return controls.groupBy(*keys).agg(*signal_columns(), *metric_columns())
 
 
 def _action(**fields: Column) -> Column:
@@ -214,13 +225,15 @@ def as_of(events: DataFrame, states: DataFrame, keys: list[str], time: str, tie:
     """Latest state row of the key at or before each event: both sides are put into one time order and
     the last state is carried forward, so there is no range join and no hot-key task."""
     payload = F.struct(*columns)
+    events = uncombined(events)
     left = events.select("*", F.lit(1).alias("_kind"), F.lit(None).alias("_state"))
     right = states.select(*keys, time, tie, F.lit(0).alias("_kind"), payload.alias("_state"))
     both = left.drop("_state").unionByName(right, allowMissingColumns=True)
     order = [time, "_kind", tie]
     carried = running(both, keys, order, _known=last_of(F.col("_state"), "current"))
+    mark = carried.schema["_known"].metadata
     return carried.filter("_kind = 1").select(
-        *events.columns, *[F.col("_known")[c].alias(c) for c in columns]
+        *events.columns, *[F.col("_known")[c].alias(c, metadata=mark) for c in columns]
     )
 
 

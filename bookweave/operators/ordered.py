@@ -116,20 +116,31 @@ def _split(df: DataFrame) -> bool:
     return bool(df.schema[CHUNK].metadata.get("split", True))
 
 
-def _keep_note(df: DataFrame, source: DataFrame, combined: bool = False) -> DataFrame:
-    note = dict(source.schema[CHUNK].metadata)
-    return df.withMetadata(CHUNK, {**note, "combined": combined or bool(note.get("combined"))})
+def _keep_note(df: DataFrame, source: DataFrame) -> DataFrame:
+    return df.withMetadata(CHUNK, source.schema[CHUNK].metadata)
 
 
-def _uncombined(df: DataFrame) -> DataFrame:
-    """A combined running value reads its input twice (rows and carry). Stacking them would double the
-    work at every step, so the result of one is checkpointed before the next builds on it."""
-    if CHUNK in df.columns and df.schema[CHUNK].metadata.get("combined"):
-        note = {**df.schema[CHUNK].metadata, "combined": False}
-        return cut_lineage(df).withMetadata(CHUNK, note)
+def _combined(df: DataFrame, names: list[str]) -> DataFrame:
+    """Mark columns that came from rows and carries put together."""
+    for name in names:
+        df = df.withMetadata(name, {"combined": True})
     return df
 
 
+def uncombined(df: DataFrame) -> DataFrame:
+    """A combined running value reads its input twice (rows and carry). Stacking such values would
+    double the work at every step, so a result that holds one is checkpointed before the next builds on
+    it."""
+    marked = [f.name for f in df.schema if f.metadata.get("combined")]
+    if not marked:
+        return df
+    note = df.schema[CHUNK].metadata if CHUNK in df.columns else None
+    df = cut_lineage(df)
+    for name in marked:
+        df = df.withMetadata(name, {})
+    return df.withMetadata(CHUNK, note) if note is not None else df
+
+
 @dataclass(frozen=True)
 class Running:
     """One running value: ``kind`` is sum, count, min, max or last (latest non-null); ``upto`` is
@@ -198,7 +209,7 @@ def lag_of(value: Column) -> Running:
 def running(df: DataFrame, keys: list[str], order: list[str], **values: Running) -> DataFrame:
     """Add the running values to ``df``. ``order`` must be a total order inside a key and start
     with an integer time; chunks are added when missing."""
-    df = _chunked(_uncombined(df), keys, order)
+    df = _chunked(uncombined(df), keys, order)
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
     if not _split(df):
         zero = F.lit(0)
@@ -221,7 +232,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], **values: Running)
     out = joined.withColumns(
         {n: v.combine(F.col(f"_c_{n}"), F.col(f"_l_{n}")) for n, v in values.items()}
     )
-    return _keep_note(out.drop(*[f"_{p}_{n}" for n in values for p in "lc"]), df, combined=True)
+    return _combined(_keep_note(out.drop(*[f"_{p}_{n}" for n in values for p in "lc"]), df), list(values))
 
 
 def unwrap(df: DataFrame, *names: str) -> DataFrame:
@@ -237,7 +248,7 @@ def reflected_sum(
     Closed form: ``C - least(0, min C)`` with C the plain running sum, so a chunk is summed up by its
     total and its lowest prefix. ``total_name`` also keeps C.
     """
-    df = _chunked(_uncombined(df), keys, order)
+    df = _chunked(uncombined(df), keys, order)
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     rows = df.withColumn("_sum", F.sum(delta).over(inside))
     rows = rows.withColumn("_low", F.min("_sum").over(inside))
@@ -260,41 +271,39 @@ def reflected_sum(
     lowest = F.least(F.lit(0), F.col("_low_before"), before + F.col("_low"))
     values = {name: total - lowest, **({total_name: total} if total_name else {})}
     joined = rows.join(carry, [*keys, CHUNK], "left").withColumns(values)
-    return _keep_note(joined.drop("_sum", "_low", "_before", "_low_before"), df, combined=True)
+    return _combined(_keep_note(joined.drop("_sum", "_low", "_before", "_low_before"), df), list(values))
 
 
-def rolling_count(
-    df: DataFrame, keys: list[str], time: str, tie: str, width: int, name: str,
-    condition: Column | None = None,
+def rolling_counts(
+    df: DataFrame, keys: list[str], time: str, tie: str, width: int, **conditions: Column
 ) -> DataFrame:
-    """Rows of the key with time in ``[t - width, t]`` up to the row itself.
+    """Per condition: rows of the key that meet it with time in ``[t - width, t]``, up to the row itself.
 
     Count so far minus the count before ``t - width``: every row also sends a probe at ``t - width``
     into the same order, so no group spans more than a chunk and dense seconds do not matter.
     """
-    flag = F.lit(True) if condition is None else condition
-    base = df.withColumn("_hit", flag.cast("bigint"))
+    names = list(conditions)
+    df = uncombined(df)
+    base = df.withColumns({f"_hit_{n}": c.cast("bigint") for n, c in conditions.items()})
     real = base.select("*", F.col(time).alias("_at"), F.lit(1).alias("_kind"))
     probes = base.select(
-        *[F.col(c) for c in base.columns if c != "_hit"],
-        F.lit(0).cast("bigint").alias("_hit"),
+        *[F.col(c) if c in (*keys, time, tie) else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns],
+        *[F.lit(0).cast("bigint").alias(f"_hit_{n}") for n in names],
         (F.col(time) - F.lit(width)).alias("_at"),
         F.lit(0).alias("_kind"),
     )
     both = with_chunks(real.unionByName(probes), keys, "_at", tie)
     # a probe sorts before every row of the same instant; the tie column keeps the order total
-    both = _retie(both, tie)
-    counted = running(both, keys, ["_at", "_kind", tie], _n=sum_of(F.col("_hit")))
+    counted = running(
+        _retie(both, tie), keys, ["_at", "_kind", tie], **{f"_n_{n}": sum_of(F.col(f"_hit_{n}")) for n in names}
+    )
     ids = [*keys, time, tie]
-    return (
-        counted.groupBy(*ids)
-        .agg(
-            *[F.first(c).alias(c) for c in df.columns if c not in ids],
-            (
-                F.max(F.when(F.col("_kind") == 1, F.col("_n")))
-                - F.max(F.when(F.col("_kind") == 0, F.col("_n")))
-            ).alias(name),
-        )
+    own = F.col("_kind") == 1
+    return counted.groupBy(*ids).agg(
+        *[F.max_by(c, "_kind").alias(c) for c in df.columns if c not in ids],
+        *[
+            (F.max(F.when(own, F.col(f"_n_{n}"))) - F.max(F.when(~own, F.col(f"_n_{n}")))).alias(n) for n in names
+        ],
     )
 
 
@@ -353,7 +362,7 @@ def fold_in_rounds(
     biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if biggest <= rows_per_round:
         return split(df.groupBy(*keys).applyInPandas(first_round, schema))
-    work = with_chunks(df, keys, order[0], order[1], chunks=2 * -(-biggest // rows_per_round))
+    work = with_chunks(cut_lineage(df), keys, order[0], order[1], chunks=2 * -(-biggest // rows_per_round))
     held: DataFrame | None = None
     outputs: DataFrame | None = None
     for (number,) in sorted(work.select(CHUNK).distinct().collect()):

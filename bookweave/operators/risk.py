@@ -13,7 +13,7 @@ from bookweave.operators.ordered import (
     last_of,
     max_of,
     reflected_sum,
-    rolling_count,
+    rolling_counts,
     running,
     sum_of,
 )
@@ -125,11 +125,8 @@ def with_running_notional(intents: DataFrame) -> DataFrame:
 
 
 def rates(events: DataFrame, keys: list[str], time: str, tie: str, width_ns: int, **conditions: Column) -> DataFrame:
-    """Rolling counts of the rows that meet each condition."""
-    out = events
-    for name, condition in conditions.items():
-        out = rolling_count(out, keys, time, tie, width_ns, name, condition)
-    return out
+    """Rolling counts of the rows that meet each condition, in one pass."""
+    return rolling_counts(events, keys, time, tie, width_ns, **conditions)
 
 
 def cumulative(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:

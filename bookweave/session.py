@@ -53,3 +53,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """How many pieces ordered work is cut into: the cluster's own shuffle setting."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input that arrives in fewer partitions than there are cores
+    (a single file, say) before costly per-row work. A large input has more partitions and is left as
+    it is, so this never shuffles big data."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookweave.functions.scalars import event_id, int_div
 from bookweave.schemas import DAY_NS, RISK_SCALE
+from bookweave.session import spread
 
 REGIME_SWING_NS = 7_200_000_000_000
 
@@ -182,7 +183,7 @@ intents AS (
 def raw_frames(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a raw venue frame. Quantity k+1 = 1..5 stands for the bad cases: no symbol,
     time as text, unknown kind, malformed price, and extra text digits (which must be cut off)."""
-    return shape_frames(market_events(spark, folder))
+    return shape_frames(spread(market_events(spark, folder)))
 
 
 def shape_frames(e: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ HEADS = [
 
 def model_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with a mixing number z in 0..99 from which model outputs and states are worked out."""
-    return with_mixing(market_events(spark, folder))
+    return with_mixing(spread(market_events(spark, folder)))
 
 
 def with_mixing(events: DataFrame) -> DataFrame:
@@ -305,10 +306,10 @@ def policy_context(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shape_context(controls: DataFrame) -> DataFrame:
-    from bookweave.operators.gate import coherence_gate, coherence_metrics, control_signals
+    from bookweave.operators.gate import coherence_gate, signals_and_metrics
 
     keys = ["seq", "ts_ns", "symbol_id", "venue_id", "z"]
-    both = control_signals(controls, keys).join(coherence_metrics(controls, keys), keys)
+    both = signals_and_metrics(controls, keys)
     gated = coherence_gate(both.withColumn("regime", F.col("venue_id")))
     z = F.col("z")
     return gated.withColumns(
