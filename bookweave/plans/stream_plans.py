@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bookweave.functions.scalars import int_div
+from bookweave.operators import ingest
 from bookweave.operators.gate import decide
 from bookweave.operators.ingest import EVENT_COLUMNS
 from bookweave.operators.topk import latest_per_key
@@ -14,6 +15,7 @@ from bookweave.plans.ingest_plans import EVENT_COLS, FR, ME, SEQUENCER
 from bookweave.plans.pnl_plans import COOL, FI, POS
 from bookweave.sources import driver_tables as D
 from bookweave.sources.event_log import EventLog
+from bookweave.sources.frames import read_frames, register_parser
 from bookweave.streaming import jobs as J
 
 
@@ -128,3 +130,68 @@ def _(spark, d):
 
     J.for_each_batch(D.event_stream(spark, d), write)
     return spark.read.schema("seq bigint, type string, rule string").option("recursiveFileLookup", "true").parquet(out)
+
+
+@query(
+    "frame_files",
+    "A1",
+    FR
+    + """SELECT venue_id, CASE WHEN k = 1 AND event_type <> 3 THEN NULL ELSE ts_exchange_ns // 1000000 * 1000000 END AS received_at_ns, CASE WHEN k <> 2 THEN route0 ELSE 'ping' END AS kind, count(*) AS n FROM fr GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    """All frames written to files per venue, one per line, and read back."""
+    folder = J.new_folder(spark, "frames")
+    D.raw_frames(spark, d).select("data", "venue_id").write.partitionBy("venue_id").text(folder)
+    frames = None
+    for venue in range(3):
+        part = read_frames(spark, f"{folder}/venue_id={venue}", venue, lines=True)
+        frames = part if frames is None else frames.unionByName(part)
+    kind = F.get_json_object("data", "$.e").alias("kind")
+    return frames.groupBy("venue_id", "received_at_ns", kind).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("buffered_events", "A15", ME + "SELECT event_id, ts_exchange_ns FROM me")
+def _(spark, d):
+    out = J.new_folder(spark, "buffered")
+    rows = D.event_stream(spark, d).select("event_id", "ts_exchange_ns")
+    writer = J.buffered_writer(rows, f"{out}/rows", f"{out}/checkpoint")
+    writer.processAllAvailable()
+    writer.stop()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query(
+    "stream_reorder_capacity",
+    "K3",
+    ME + "SELECT venue_id AS key, CASE WHEN n > 200 THEN (n - 150) // 51 * 51 ELSE 0 END AS n FROM (SELECT venue_id, count(*) AS n FROM me GROUP BY 1)",
+)
+def _(spark, d):
+    """A tolerance longer than the data: only the capacity of 200 lets events go, 51 at a time."""
+    events = D.event_stream(spark, d).select(
+        F.col("venue_id").alias("key"), "event_id", "ts_exchange_ns", "seq", F.col("ts_exchange_ns").alias("arrival"), F.lit(False).alias("flush")
+    )
+    out = J.drain(J.reorder(events, "key", 10**18, 200))
+    return out.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "custom_parser_trades",
+    "L5",
+    ME
+    + "SELECT venue_id, seq AS frame_no, symbol_id, ts_exchange_ns // 1000000 * 1000000 AS ts_exchange_ns, qty_fp AS price_fp FROM me WHERE symbol_id <> 15",
+)
+def _(spark, d):
+    """A feed of ``time|symbol|price`` text through its own parser."""
+
+    def parse(text):
+        part = lambda i: F.split_part(text, F.lit("|"), F.lit(i))
+        return F.try_parse_json(F.format_string('{"e":"trade","T":%s,"s":"%s","p":"%s","q":"1","m":false}', part(1), part(2), part(3)))
+
+    register_parser("pipes", parse)
+    e = D.market_events(spark, d)
+    frames = e.select(
+        "venue_id", F.col("ts_ingest_ns").alias("received_at_ns"), F.col("seq").alias("frame_no"),
+        F.concat_ws("|", int_div(F.col("ts_exchange_ns"), 1_000_000), F.concat(F.lit("S"), "symbol_id"), int_div(F.col("qty_fp"), 100_000_000)).alias("data"),
+    )
+    rows = ingest.resolve_symbols(ingest.flatten_frames(ingest.parse_frames(frames, "pipes")), D.symbol_dimension(spark, d))
+    return ingest.priced_rows(rows).select("venue_id", "frame_no", "symbol_id", "ts_exchange_ns", "price_fp")

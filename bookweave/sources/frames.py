@@ -33,18 +33,19 @@ def frame_time_ms(message: Column) -> Column:
     return F.coalesce(pick("$.T"), pick("$.E"))
 
 
-def read_frames(spark: SparkSession, path: str, venue_id: int) -> DataFrame:
-    """Files that hold a JSON array of frames (or one frame per line) as raw frames.
+def read_frames(spark: SparkSession, path: str, venue_id: int, lines: bool = False) -> DataFrame:
+    """Frame files as raw frames: each file a JSON array of frames, or one frame per line (``lines``),
+    which splits inside big files.
 
-    The rows keep the frame as JSON text; receive time is the frame's own time, and ``frame_no`` is
-    the arrival order inside a file.
+    The rows keep the frame as JSON text; receive time is the frame's own time. ``frame_no`` is the
+    place in the array; for lines it is null, and the receive time gives the order.
     """
-    texts = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc")
-    )
-    frames = texts.select(
-        "file", F.posexplode(F.try_variant_get("doc", "$", "array<variant>")).alias("frame_no", "message")
-    )
+    texts = spark.read.text(path, wholetext=not lines)
+    if lines:
+        frames = texts.select(F.lit(None).cast("bigint").alias("frame_no"), F.try_parse_json("value").alias("message"))
+    else:
+        items = F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")
+        frames = texts.select(F.posexplode(items).alias("frame_no", "message"))
     return frames.select(
         F.lit(venue_id).alias("venue_id"),
         ms_to_ns(frame_time_ms(F.col("message"))).alias("received_at_ns"),
