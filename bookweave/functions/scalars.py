@@ -25,6 +25,14 @@ def ns_to_timestamp(ts_ns: Column) -> Column:
     return F.timestamp_micros(int_div(ts_ns, 1000))
 
 
+def ns_to_ntz(ts_ns: Column) -> Column:
+    """Zone-less time, for labels that must not depend on the session's time zone."""
+    micros = int_div(ts_ns, 1000)
+    return F.call_function(
+        "make_timestamp_ntz", F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)")
+    ) + F.make_dt_interval(secs=(micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(8,0)")).cast("decimal(18,6)"))
+
+
 def ms_to_ns(ts_ms: Column) -> Column:
     return ts_ms * F.lit(1_000_000)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookweave.functions.scalars import bucket_start, decode, int_div, ns_to_timestamp
+from bookweave.functions.scalars import bucket_start, decode, int_div, ns_to_ntz
 from bookweave.operators.ordered import lag_of, running, unwrap
 from bookweave.schemas import EVENT_TYPES, HOUR_NS
 
@@ -25,7 +25,7 @@ def count_by_type(events: DataFrame) -> DataFrame:
 
 
 def hour_label(ts_ns: Column) -> Column:
-    return F.date_format(ns_to_timestamp(ts_ns), "yyyy-MM-dd HH:00")
+    return F.date_format(ns_to_ntz(ts_ns), "yyyy-MM-dd HH:00")
 
 
 def count_by_hour(events: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookweave.functions.scalars import decimal_text_to_fixed, fixed_to_double, int_div, ms_to_ns, ns_to_timestamp
+from bookweave.functions.scalars import decimal_text_to_fixed, fixed_to_double, int_div, ms_to_ns, ns_to_ntz
 from bookweave.operators import ingest as I
 from bookweave.plans.catalog import query
 from bookweave.schemas import INGEST_SCALE, RISK_SCALE
@@ -127,7 +127,7 @@ def _(spark, d):
 def _(spark, d):
     return market_events(spark, d).select(
         "seq",
-        F.date_format(ns_to_timestamp(F.col("ts_exchange_ns")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
+        F.date_format(ns_to_ntz(F.col("ts_exchange_ns")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"),
         ms_to_ns(int_div(F.col("ts_exchange_ns"), 1_000_000)).alias("ms_ns"),
     )
 

@@ -269,12 +269,12 @@ def _(spark, d):
     PN
     + """, c AS (SELECT *, sum(pnl_usd) OVER (PARTITION BY symbol_id ORDER BY ts_ns, seq) AS cum FROM pnl),
  p AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY symbol_id ORDER BY ts_ns, seq)) AS peak FROM c),
- q AS (SELECT *, CASE WHEN peak > 1e-9 THEN (peak - cum) / peak * 100 WHEN cum < -1e-9 THEN abs(cum) / 1000000 * 100 END AS dd FROM p)
- SELECT seq, round(coalesce(last_value(dd IGNORE NULLS) OVER (PARTITION BY symbol_id ORDER BY ts_ns, seq), 0), 8) AS session_drawdown_pct FROM q""",
+ q AS (SELECT *, CASE WHEN peak > 1e-9 THEN (peak - cum) / peak * 100 WHEN cum < -1e-9 THEN abs(cum) / 999983 * 100 END AS dd FROM p)
+ SELECT seq, round(coalesce(last_value(dd IGNORE NULLS) OVER (PARTITION BY symbol_id ORDER BY ts_ns, seq), 0), 6) AS session_drawdown_pct FROM q""",
 )
 def _(spark, d):
-    rows = R.session_drawdown(pnl_stream(spark, d), ["symbol_id"], 1_000_000)
-    return rows.select("seq", F.round("session_drawdown_pct", 8).alias("session_drawdown_pct"))
+    rows = R.session_drawdown(pnl_stream(spark, d), ["symbol_id"], 999_983)
+    return rows.select("seq", F.round("session_drawdown_pct", 6).alias("session_drawdown_pct"))
 
 
 # --- order intents and limits ----------------------------------------------------------------------------

@@ -17,7 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _micros(column: str):
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+    """Microseconds since the epoch of a zone-less timestamp, whatever the session's time zone (the
+    difference of two zone-less times never goes through a zone)."""
+    gap = f"({column} - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    return F.expr(
+        f"(extract(DAY FROM {gap}) * 86400L + extract(HOUR FROM {gap}) * 3600L + extract(MINUTE FROM {gap}) * 60L) * 1000000L"
+        f" + CAST(extract(SECOND FROM {gap}) * 1000000 AS BIGINT)"
+    )
 
 
 def market_events(

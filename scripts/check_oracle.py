@@ -35,6 +35,13 @@ def canon(rows, columns):
     return sorted((repr(tuple(plain(r[i]) for i in order)) for r in rows))
 
 
+def strict(rows, columns):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    for r in rows:
+        values = [r[i] for i in order]
+        yield tuple(float(v) if hasattr(v, "as_tuple") else (v + 0.0 if isinstance(v, float) else v) for v in values)
+
+
 def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
@@ -61,7 +68,8 @@ def main() -> int:
             want = cur.fetchall()
             a, b = canon(rows, df.columns), canon(want, cols)
             same = sorted(df.columns) == sorted(cols) and a == b
-            note = "" if same else f" cols {sorted(set(df.columns) ^ set(cols))} n {len(a)}/{len(b)}"
+            exact = same and sorted(map(repr, strict(rows, df.columns))) == sorted(map(repr, strict(want, cols)))
+            note = ("" if exact else "  (equal after rounding only)") if same else f" cols {sorted(set(df.columns) ^ set(cols))} n {len(a)}/{len(b)}"
             print(f"{'OK  ' if same else 'DIFF'} {name} {len(rows)} {took:.1f}s{note}", flush=True)
             if not rows:
                 print("     (no rows)")
