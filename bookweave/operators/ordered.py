@@ -14,6 +14,7 @@ where the carry comes from one small row per hot ``(key, chunk)``. Rows are shuf
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookweave.functions.scalars import int_div
-from bookweave.session import cut_lineage, shuffle_width
+from bookweave.session import checkpoint_dir, cut_lineage, shuffle_width
 
 CHUNK = "_chunk"
 _POS = "_pos"
@@ -31,7 +32,7 @@ _COLD = -1  # chunk of every row whose key is not hot
 
 
 def with_chunks(
-    df: DataFrame, keys: list[str], time: str, tie: str | None = None, chunks: int | None = None
+    df: DataFrame, keys: list[str], time: str, tie: str | None = None
 ) -> DataFrame:
     """Add the chunk number of every row: -1 for ordinary keys, the quantile piece of the integer
     column ``time`` for hot ones (all rows are hot when there are no keys).
@@ -44,7 +45,7 @@ def with_chunks(
     spark = df.sparkSession
     if CHUNK in df.columns:
         df = df.drop(CHUNK)
-    n = chunks or shuffle_width(spark)
+    n = shuffle_width(spark)
     probabilities = [i / n for i in range(1, n)]
     accuracy = max(10_000, 10 * n)
     key_hash = F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
@@ -55,12 +56,12 @@ def with_chunks(
             F.count(F.lit(1)).alias("rows"),
             F.min("t").alias("lo"),
             F.percentile_approx("t", probabilities, accuracy).alias("cuts"),
-            (F.expr(f"approx_top_k(h, {min(tracked, 2 * n)}, {tracked})") if keys and not chunks else F.lit(None)).alias("top"),
+            (F.expr(f"approx_top_k(h, {min(tracked, 2 * n)}, {tracked})") if keys else F.lit(None)).alias("top"),
         )
         .first()
     )
     share = found["rows"] / n
-    everything = not keys or chunks is not None
+    everything = not keys
     hot_keys = [] if everything else [r["item"] for r in found["top"] or [] if r["count"] > share]
     note = {"keys": keys, "time": time, "split": bool(everything or hot_keys)}
     if found["lo"] is None or not note["split"]:
@@ -323,9 +324,9 @@ def fold_in_rounds(
 
     ``step(rows, before) -> (list of out tuples, after)`` gets one key's rows of a round in order (a
     pandas frame) and the state dict (None at first). States are text, so 64-bit and wider numbers
-    stay exact. Time is cut so that no key gives one task more than about ``rows_per_round`` rows:
-    one round is the usual case, a hot key takes more rounds, never a bigger task. Between rounds one
-    state row per key is checkpointed. Gives ``(rows out, final state per key)``.
+    stay exact. A round takes at most ``rows_per_round`` rows of every key: one round is the usual case,
+    a hot key takes more rounds, never a bigger task. Between rounds one state row per key is
+    checkpointed. Gives ``(rows out, final state per key)``.
     """
     import pandas as pd
 
@@ -362,11 +363,16 @@ def fold_in_rounds(
     biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if biggest <= rows_per_round:
         return split(df.groupBy(*keys).applyInPandas(first_round, schema))
-    work = with_chunks(cut_lineage(df), keys, order[0], order[1], chunks=2 * -(-biggest // rows_per_round))
+    # rounds by exact rank inside the key, written as one folder per round: a round reads its rows only
+    ranked = row_numbers(df, keys, order, "_rank").drop(CHUNK)
+    folder = f"{checkpoint_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    ranked.withColumn("_round", int_div(F.col("_rank") - 1, rows_per_round)).drop("_rank").write.partitionBy(
+        "_round"
+    ).parquet(folder)
     held: DataFrame | None = None
     outputs: DataFrame | None = None
-    for (number,) in sorted(work.select(CHUNK).distinct().collect()):
-        part = work.filter(F.col(CHUNK) == number).groupBy(*keys)
+    for number in range(-(-biggest // rows_per_round)):
+        part = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/_round={number}").groupBy(*keys)
         if held is None:
             done = part.applyInPandas(first_round, schema)
         else:

@@ -78,8 +78,8 @@ CENT = EL + ", ce AS (SELECT label, list(m ORDER BY pos) AS q FROM (SELECT label
     CENT + "SELECT vec_id, ce.label AS row, round(list_dot_product(h, q) + ce.label / 10.0::DOUBLE, 6) AS y FROM em, ce",
 )
 def _(spark, d):
-    rows = centroids(spark, d).orderBy("label").limit(1000).collect()  # ten rows; the limit is a guard
-    w, b = np.array([x["q"] for x in rows]), np.array([x["label"] / 10 for x in rows])
+    parts = [layer for _, layer in sorted(M.weight_table(centroid_weights(spark, d)).items())]
+    w, b = np.vstack([m for m, _ in parts]), np.concatenate([v for _, v in parts])
     y = vectors(spark, d).withColumn("y", M.dense_layer(F.col("h"), w, b))
     return y.select("vec_id", F.posexplode("y").alias("row", "y")).withColumn("y", F.round("y", 6))
 
@@ -344,6 +344,14 @@ def parameters(spark, shapes: list[tuple[str, int, int, int]]):
     )
 
 
+def centroid_weights(spark, d):
+    """One weight row per label: its centroid, and label / 10 as bias."""
+    return centroids(spark, d).select(
+        "label", F.lit("centroid").alias("layer"), F.col("label").alias("part"), F.lit(1).alias("out_dim"), F.size("q").alias("in_dim"),
+        F.col("q").alias("w"), F.array(F.col("label") / 10).alias("b"),
+    )
+
+
 @query(
     "weight_table",
     "J1",
@@ -351,10 +359,7 @@ def parameters(spark, shapes: list[tuple[str, int, int, int]]):
 )
 def _(spark, d):
     """One row of weights per label, worked out from the table and checked for size."""
-    rows = centroids(spark, d).select(
-        "label", F.lit("centroid").alias("layer"), F.col("label").alias("part"), F.lit(1).alias("out_dim"), F.lit(64).alias("in_dim"),
-        F.col("q").alias("w"), F.array(F.col("label") / 10).alias("b"),
-    )
+    rows = centroid_weights(spark, d)
     return M.checked_weights(rows).select("label", F.size("w").alias("n_w"), F.size("b").alias("n_b"), F.round(V.vec_sum(F.col("w")), 6).alias("w_total"))
 
 

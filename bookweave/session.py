@@ -58,6 +58,7 @@ def shuffle_width(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a small input that arrives in fewer partitions than there are cores
     (a single file, say) before costly per-row work. A large input has more partitions and is left as
-    it is, so this never shuffles big data."""
+    it is, so this never shuffles big data. For scans and projections of them only: looking at the
+    partitions of a shuffled frame would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

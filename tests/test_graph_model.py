@@ -181,3 +181,44 @@ def test_registry_errors(spark):
     assert R.retire(up, 2, now).filter("retired_at is null").count() == 0
     with pytest.raises(ValueError):
         R.retire(R.retire(up, 2, now), 2, now)
+
+
+def test_mlp_heads_and_stack(graph):
+    rng, x, edges, nodes, e = graph
+    a, b = layer(rng, 8, 6), layer(rng, 3, 8)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    hidden = np.maximum(x @ a[0].T + a[1], 0)
+    for r in nodes.withColumn("y", M.mlp(F.col("h"), [a, b], "relu", "sigmoid")).collect():
+        np.testing.assert_allclose(r.y, sig(hidden[r.id] @ b[0].T + b[1]), atol=1e-12)
+    one, three, four = layer(rng, 1, 8), layer(rng, 3, 8), layer(rng, 4, 8)
+    out = {"softmax3": three, "softmax4": four}
+    mats = {n: [a, {1: one, 3: three, 4: four}[M.HEADS[n][1]]] for n in M.HEADS}
+    z = (hidden @ one[0].T + one[1])[:, 0]
+    soft = {}
+    for n, w in ((3, three), (4, four)):
+        s = hidden @ w[0].T + w[1]
+        soft[n] = np.exp(s) / np.exp(s).sum(1, keepdims=True)
+    p, sp = sig(z), np.log1p(np.exp(z))
+    want = {
+        "mid_price": (z, abs(z) / (abs(z) + 1)), "slippage": (sp, 1 / (1 + sp)), "size": (p, 1 - 2 * abs(p - 0.5)),
+        "regime_transition": (soft[3].argmax(1), np.maximum(0, (soft[3].max(1) - 1 / 3) / (2 / 3))),
+        "venue": (soft[4].argmax(1), np.maximum(0, (soft[4].max(1) - 1 / 4) / (3 / 4))),
+    }
+    for n in ("fill_prob", "cancel_prob", "vol_jump", "place", "modify", "write_admission"):
+        want[n] = (p, abs(2 * p - 1))
+    got = M.score_heads(nodes, "h", mats, list(M.HEADS)).collect()
+    assert len(got) == 30 * 11
+    for r in got:
+        np.testing.assert_allclose((r.value, r.confidence), [v[r.id] for v in want[r.head_name]], atol=1e-9)
+
+
+def test_graph_embedding_is_the_composition(graph):
+    rng, x, _, nodes, e = graph
+    layers = [(layer(rng, 4, 6), [layer(rng, 4, 6)]), (layer(rng, 4, 4), [layer(rng, 4, 4)])]
+    heads, out, project = [{n: layer(rng, 2, 4) for n in "qkv"} for _ in range(2)], layer(rng, 4, 4), layer(rng, 7, 4)
+    step = M.message_passing(M.message_passing(nodes, e, *layers[0]), e, *layers[1])
+    pooled = {r.g: r.pooled for r in M.attention_pool(step, "g", ["id"], heads, out)[0].collect()}
+    got = M.graph_embedding(nodes, e, "g", ["id"], layers, heads, out, project).collect()
+    assert len(got) == len(pooled)
+    for r in got:
+        np.testing.assert_allclose(r.embedding, np.maximum(project[0] @ pooled[r.g] + project[1], 0), atol=1e-9)
