@@ -457,14 +457,14 @@ def _(spark, d):
     "E30",
     ME
     + """, m AS (SELECT venue_id, seq, ts_exchange_ns, price_fp / 1e8 - 100 AS x, avg(price_fp / 1e8 - 100) OVER (PARTITION BY venue_id ORDER BY ts_exchange_ns, seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) AS mu FROM me),
- c AS (SELECT *, sum(x - coalesce(mu, x) - 0.01) OVER (PARTITION BY venue_id ORDER BY ts_exchange_ns, seq) AS c FROM m),
+ c AS (SELECT *, sum(x - coalesce(mu, x) - 0.0100037123::DOUBLE) OVER (PARTITION BY venue_id ORDER BY ts_exchange_ns, seq) AS c FROM m),
  s AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY venue_id ORDER BY ts_exchange_ns, seq)) AS s FROM c)
- SELECT seq, round(s, 8) AS cusum, s > 0.5 AS alarm FROM s""",
+ SELECT seq, round(s, 6) AS cusum, s > 0.5 AS alarm FROM s""",
 )
 def _(spark, d):
-    """Mean over the 100 rows before (the default drift window is 1000), k 0.01, h 0.5."""
+    """Mean over the 100 rows before (the default drift window is 1000), k 0.0100037123 (no rounding ties), h 0.5."""
     rows = market_events(spark, d).select("venue_id", "seq", "ts_exchange_ns", (F.col("price_fp") / F.lit(1e8) - 100).alias("x"))
     order = ["ts_exchange_ns", "seq"]
     rows = R.trailing_mean(rows, ["venue_id"], order, F.col("x"), 100, "mu")
-    out = R.cusum(rows, ["venue_id"], order, F.col("x"), F.coalesce("mu", "x"), 0.01, 0.5)
-    return out.select("seq", F.round("cusum", 8).alias("cusum"), "alarm")
+    out = R.cusum(rows, ["venue_id"], order, F.col("x"), F.coalesce("mu", "x"), 0.0100037123, 0.5)
+    return out.select("seq", F.round("cusum", 6).alias("cusum"), "alarm")
