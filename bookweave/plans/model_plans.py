@@ -331,7 +331,7 @@ def _(spark, d):
     return rows.select("vec_id", F.size("v").alias("n"), F.round(V.vec_sum(F.col("v")), 6).alias("total"), F.round(V.vec_sum(queue), 6).alias("queue_total"))
 
 
-# --- neural scoring (no SQL form: tested against numpy) -----------------------------------------------------------
+# --- scoring (no SQL form: tested against numpy) -----------------------------------------------------------
 
 
 def parameters(spark, shapes: list[tuple[str, int, int, int]]):
