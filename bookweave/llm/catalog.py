@@ -11,12 +11,18 @@ from bookweave.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from bookweave.llm.jaccard_join import op4_ngram_jaccard_join
 from bookweave.llm.language_id import op10_language_id
 from bookweave.llm.packing import op2_packing
+from bookweave.llm.quality import op9_quality_classifier
+from bookweave.llm.secrets import op5_secret_scan
+from bookweave.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
