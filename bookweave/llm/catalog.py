@@ -10,6 +10,7 @@ from bookweave.llm.decontamination import op8_benchmark_decontamination
 from bookweave.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from bookweave.llm.jaccard_join import op4_ngram_jaccard_join
 from bookweave.llm.language_id import op10_language_id
+from bookweave.llm.lm_scoring import op3_lm_scoring
 from bookweave.llm.packing import op2_packing
 from bookweave.llm.quality import op9_quality_classifier
 from bookweave.llm.secrets import op5_secret_scan
@@ -17,6 +18,7 @@ from bookweave.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
