@@ -15,8 +15,10 @@ from bookweave.llm.packing import op2_packing
 from bookweave.llm.quality import op9_quality_classifier
 from bookweave.llm.secrets import op5_secret_scan
 from bookweave.llm.token_counts import op7_token_counts
+from bookweave.llm.warc import OP1_SQL, op1_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_packing": op2_packing,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
@@ -27,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
-SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op6_exact_dedup": OP6_SQL}
