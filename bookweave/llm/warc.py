@@ -160,7 +160,7 @@ b AS (SELECT record_id, ts, fl, regexp_replace(regexp_replace(trim(url), '#.*$',
 c AS (SELECT record_id, ts, fl,
         regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^www[.]', ''), ':(80|443)$', '')
         || regexp_replace(regexp_extract(regexp_replace(u, '^[^/?]*', ''), '^[^?]*', 0), '/+$', '') AS place,
-        list_sort(list_filter(string_split(regexp_replace(u, '^[^?]*[?]?', ''), '&'), x -> x <> '' AND NOT starts_with(lower(x), 'utm_'))) AS q FROM b),
+        list_sort(list_filter(string_split(regexp_replace(u, '^[^?]*[?]?', ''), '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))) AS q FROM b),
 d AS (SELECT record_id, ts, fl, place || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM c),
 e AS (SELECT record_id, fl, last_value(CASE WHEN fl = 1 THEN record_id END IGNORE NULLS) OVER (PARTITION BY canonical ORDER BY ts, record_id) AS response_id FROM d WHERE canonical IS NOT NULL),
 f AS (SELECT v.record_id, v.url, v.ts, e.response_id, v.page_id, v.tag, o.page_id AS other, o.tag AS old_tag, o.html,
