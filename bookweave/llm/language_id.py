@@ -97,20 +97,23 @@ def features(batches):
                 )
 
 
-def train(examples: list, size: int = 16, epochs: int = 8, rate: float = 20.0, max_false_rejection: float = 0.0005) -> LanguageModel | None:
+def train(examples: pa.Table, size: int = 16, epochs: int = 8, rate: float = 20.0, max_false_rejection: float = 0.0005) -> LanguageModel | None:
     """Minibatch SGD on embeddings and softmax. A fifth of the whole texts is set aside to fit the temperature
     and the confidence under which a text is rejected, so that at most that share of them is."""
-    if not examples:
+    if not len(examples):
         return None
-    languages = sorted({e["lang"] for e in examples})
+    langs, doc_ids, whole = (examples.column(c).to_pylist() for c in ("lang", "doc_id", "whole"))
+    languages = sorted(set(langs))
     code = {x: k for k, x in enumerate(languages)}
     rng = np.random.default_rng(7)
-    order = sorted(range(len(examples)), key=lambda k: (examples[k]["doc_id"], examples[k]["whole"]))
-    kept = [k for n, k in enumerate(order) if not examples[k]["whole"] or n // 2 % 5]
-    aside = [k for n, k in enumerate(order) if examples[k]["whole"] and not n // 2 % 5]
-    own = {examples[k]["doc_id"] for k in aside}
-    kept = [k for k in kept if examples[k]["doc_id"] not in own] or order
-    rows = [(np.asarray(e["ids"], np.int64), np.asarray(e["shares"], np.float32), code[e["lang"]]) for e in examples]
+    order = sorted(range(len(examples)), key=lambda k: (doc_ids[k], whole[k]))
+    aside = [k for n, k in enumerate(order) if whole[k] and not n // 2 % 5]
+    own = {doc_ids[k] for k in aside}
+    kept = [k for k in order if doc_ids[k] not in own] or order
+    lists = examples.column("ids").combine_chunks()
+    cuts = lists.offsets.to_numpy()
+    all_ids, all_shares = lists.values.to_numpy(), examples.column("shares").combine_chunks().values.to_numpy()
+    rows = [(all_ids[a:b], all_shares[a:b], code[x]) for a, b, x in zip(cuts, cuts[1:], langs)]
     embed = rng.normal(0, 0.1, (2 * BUCKETS, size)).astype(np.float32)
     weights = rng.normal(0, 0.1, (size, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -167,7 +170,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None
         return None
     chosen = labelled.where(F.col("_order") <= last).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     got = chosen.mapInArrow(features, "doc_id bigint, lang string, whole boolean, ids array<int>, shares array<float>")
-    return train(got.toArrow().to_pylist())
+    return train(got.toArrow())
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
