@@ -26,12 +26,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local session without the setting gets a folder
     of its own; a cluster without it is refused."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="bookweave-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

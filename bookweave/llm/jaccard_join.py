@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from bookweave.llm.common import components, is_small, mix, slices, starts_of, stored, table, word_hashes, words_of
 
 U = np.uint64
+#: Shingles that a segment needs for its exact signature; thinner ones are too common and count as empty.
+THICK = 1
+#: Cells of the sketch that tells far apart sets without their shingles: how many shingles hash to each.
+CELLS = 64
 #: Members and shingles that one verification block holds, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
@@ -47,7 +51,7 @@ class Bands:
 
     Band k holds sizes low[k] .. low[k+1]-1, and a partner of a set in band k lies in bands k-1, k or k+1.
     Two sets that link and meet in band k's partition differ in at most ``differ[k]`` shingles. The segment
-    count is that plus one plus a slack for empty segments, chosen by cost: more segments mean more
+    count is that plus one plus a slack for thin segments, chosen by cost: more segments mean more
     signatures for each set, fewer mean more sets that need their one-deletion neighbourhoods."""
 
     def __init__(self, percent: int, largest: int):
@@ -70,8 +74,9 @@ class Bands:
     def slack(need: int, size: float) -> int:
         best, least = 0, math.inf
         for s in range(0, 2 + need // 4):
-            empty = (need + s) * math.exp(-size / (need + s))
-            term, within = math.exp(-empty), 0.0
+            each = size / (need + s)
+            empty = (need + s) * math.exp(-each) * sum(each**k / math.factorial(k) for k in range(THICK))
+            term, within = math.exp(-empty), 0.0  # thin segments, taken as a Poisson number
             for k in range(s + 1):
                 within += term
                 term *= empty / (k + 1)
@@ -87,9 +92,10 @@ class Bands:
 def signatures(sets: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set): what each set emits for its own band and for the one below.
 
-    A signature is a hash of band, segment and the sum of the scrambled shingles in it. Sets with too many
-    empty segments also emit each non-empty segment less one shingle; sets for which even that does not
-    make the pigeonhole argument hold also emit every single shingle."""
+    A signature is a hash of band, segment and the sum of the scrambled shingles in it. Of two sets that
+    differ in d shingles, more than d segments of enough shingles in either set guarantee an equal one. Sets
+    with fewer such segments emit their thin ones too, and each segment less one shingle; sets for which even
+    that does not make the pigeonhole argument hold also emit every single shingle."""
     band = bands.of(np.maximum(counts, 1))
     differ, segments, low = np.array(bands.differ), np.array(bands.segments), np.array(bands.low)
     scrambled = mix(sets + U(0x51_7C_C1_B7))
@@ -115,11 +121,11 @@ def signatures(sets: np.ndarray, counts: np.ndarray, bands: Bands) -> tuple[np.n
         filled = np.bincount(cell, minlength=m.sum())
         cell_owner = np.repeat(np.arange(len(counts)), m)
         salt = mix((b[cell_owner].astype(U) << U(32)) + (np.arange(m.sum()) - np.repeat(base, m)).astype(U) + U(1))
-        used = filled > 0
+        thick = np.bincount(cell_owner, filled >= THICK, minlength=len(counts))
+        poor = use & (thick < differ[b] + 1)
+        used = (filled >= THICK) | (poor[cell_owner] & (filled > 0))
         found_sig.append(mix(total[used] + salt[used]))
         found_own.append(cell_owner[used])
-        nonempty = np.bincount(cell_owner, used, minlength=len(counts))
-        poor = use & (nonempty < differ[b] + 1)
         if poor.any():
             less = poor[owner] & (filled[cell] > 1)
             found_sig.append(mix(total[cell[less]] - x[less] + salt[cell[less]]))
@@ -142,6 +148,47 @@ def set_keys(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, mix(keys + counts.astype(U)), U(0))
 
 
+def sketches(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Shingles per cell, up to 255. The sum of differences of two sketches is at most the number of shingles
+    in which the sets differ."""
+    cell = (mix(sets + U(77)) >> U(58)).astype(np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return np.minimum(np.bincount(owner * CELLS + cell, minlength=len(counts) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+
+
+def may_link(n: np.ndarray, cells: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a block may link, by their sizes and sketches: a square matrix without false negatives."""
+    x, out = cells.astype(np.int16), np.zeros((len(n), len(n)), bool)
+    for a in range(0, len(n), 64):
+        apart = np.abs(x[a : a + 64, None, :] - x[None, :, :]).sum(2)
+        out[a : a + 64] = apart <= (n[a : a + 64, None] + n[None, :]) * (100 - percent) // (100 + percent)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def groups_of(batches, keys: int):
+    """Lists of rows that agree in their first columns, from sorted batches."""
+    group: list = []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if group and row[:keys] != group[0][:keys]:
+                yield group
+                group = []
+            group.append(row)
+    if group:
+        yield group
+
+
+def in_blocks(members: DataFrame, blocks) -> DataFrame:
+    """(pivot, key) as (pivot, first, second, own, key, ...): each member goes to all pairs of blocks of its
+    pivot that have its own block."""
+    width = members.groupBy("pivot").agg(blocks.alias("blocks"))
+    placed = members.join(width, "pivot").withColumn("own", F.pmod(F.xxhash64("key", "pivot"), "blocks"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
+    return placed.drop("other", "blocks")
+
+
 def links_in_group(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Which sets of a block link: a square matrix, from exact intersection sizes of sorted sets."""
     g = len(sets)
@@ -177,7 +224,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     1. Each text becomes a set of shingle hashes; each set emits segment signatures (``signatures``).
     2. Signatures are dealt out and sorted by Spark. The smallest set key of a signature is its pivot, and
        (pivot, member) pairs are kept once. Two sets that link share a signature and so a pivot.
-    3. The members of a pivot are compared exactly, in blocks of bounded size: a task sees two blocks and
+    3. The members of a pivot are compared in blocks of bounded size, first by sketches of 64 bytes, which
+       leaves out most that are far from all others, then exactly: a task sees two blocks and
        sends on, for each member, the smallest one it reaches and its count of links. No pairs are sent.
     4. Connected components over these rows.
 
@@ -204,13 +252,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                         batch.column("doc_id").slice(start, len(counts)),
                         pa.array(counts.astype(np.int64)),
                         pa.array(set_keys(sets, counts).view(np.int64)),
+                        pa.array([x.tobytes() for x in sketches(sets, counts)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "key", "sigs"],
+                    names=["doc_id", "n_shingles", "key", "cells", "sigs"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(docs.select("doc_id", "text").mapInArrow(emit, f"doc_id {id_type}, n_shingles bigint, key bigint, sigs array<bigint>"), "jaccard-rows")
+    rows = stored(docs.select("doc_id", "text").mapInArrow(emit, f"doc_id {id_type}, n_shingles bigint, key bigint, cells binary, sigs array<bigint>"), "jaccard-rows")
     full = rows.where("n_shingles > 0")
 
     def pivots(batches):
@@ -232,6 +281,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     pairs = stored(dealt.mapInArrow(pivots, "pivot bigint, key bigint").distinct(), "jaccard-pairs")
     members = pairs.unionByName(pairs.select("pivot", F.col("pivot").alias("key")).distinct())
 
+    # without members that are far from all others of their pivot, by size and sketch
+    drawn = full.select("key", F.col("n_shingles").alias("n"), "cells").dropDuplicates(["key"])
+    sketched = in_blocks(members, F.ceil(F.count("*") / BLOCK_MEMBERS)).join(drawn, "key").repartition("pivot", "first", "second")
+    sketched = sketched.sortWithinPartitions("pivot", "first", "second").select("pivot", "first", "second", "key", "n", "cells")
+
+    def near(batches):
+        out: list = []
+
+        def sent():
+            rows = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["pivot", "key"])
+
+        for group in groups_of(batches, 3):
+            cells = np.frombuffer(b"".join(r[5] for r in group), np.uint8).reshape(-1, CELLS)
+            some = may_link(np.array([r[4] for r in group]), cells, percent).any(1)
+            out.append(np.array([(r[0], r[3]) for r in group], np.int64)[some])
+            if len(out) > 2000:
+                yield sent()
+                out = []
+        if out:
+            yield sent()
+
+    members = stored(sketched.mapInArrow(near, "pivot bigint, key bigint").distinct(), "jaccard-members")
+
     # the sets of the members, from the text of one document each
     keys = members.select("key").distinct()
     owners = full.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
@@ -255,13 +328,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # the blocks of each pivot, and the pivots under which a member was met before
     sized = members.join(sets.select("key", (F.length("shingles") / 8).alias("n")), "key")
-    blocks = sized.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     met = members.groupBy("key").agg(F.array_sort(F.collect_set("pivot")).alias("met"))
-    placed = members.join(blocks, "pivot").join(met, "key").withColumn("met", F.filter("met", lambda p: p < F.col("pivot")))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("key", "pivot"), "blocks"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", "pivot", "met", "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    placed = in_blocks(sized, F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)))
+    placed = placed.join(met, "key").withColumn("met", F.filter("met", lambda p: p < F.col("pivot")))
     grouped = placed.join(sets, "key").repartition("pivot", "first", "second").sortWithinPartitions("pivot", "first", "second")
+    grouped = grouped.select("pivot", "first", "second", "own", "key", "shingles", "met", "copies")
 
     def compare(batches):
         def judged(group):
@@ -289,24 +360,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             some = linked.any(1)
             return label[some], reach[some], n_links[some]
 
-        names = ["pivot", "first", "second", "own", "key", "shingles", "met", "copies"]
-
-        def out(done):
-            if done:
-                parts = [np.concatenate(x) for x in zip(*done)]
-                yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)) for p in parts], names=["key", "reach", "links"])
-
-        group: list = []
-        for batch in batches:
-            done = []
-            for row in zip(*(batch.column(k).to_pylist() for k in names)):
-                if group and row[:3] != group[0][:3]:
-                    done.append(judged(group))
-                    group = []
-                group.append(row)
-            yield from out(done)
-        if group:
-            yield from out([judged(group)])
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*done)], names=["key", "reach", "links"])
+
+        done: list = []
+        for group in groups_of(batches, 3):
+            done.append(judged(group))
+            if len(done) > 2000:
+                yield sent()
+                done = []
+        if done:
+            yield sent()
 
     judged = stored(grouped.mapInArrow(compare, "key bigint, reach bigint, links bigint"), "jaccard-links")
     ids = owners.select("key", F.col("doc_id").alias("node"))
