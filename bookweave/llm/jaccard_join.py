@@ -18,7 +18,7 @@ THICK = 1
 #: Cells of the sketch that tells far apart sets without their shingles: how many shingles hash to each.
 CELLS = 64
 #: Members and shingles that one verification block holds, about.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 800_000
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 SMALL_IDS = 500_000
 
