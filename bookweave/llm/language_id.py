@@ -97,8 +97,8 @@ def features(batches):
                 )
 
 
-def train(examples: pa.Table, size: int = 16, epochs: int = 8, rate: float = 20.0, max_false_rejection: float = 0.0005) -> LanguageModel | None:
-    """Minibatch SGD on embeddings and softmax. A fifth of the whole texts is set aside to fit the temperature
+def train(examples: pa.Table, size: int = 16, seen: int = 48_000, rate: float = 20.0, max_false_rejection: float = 0.0005) -> LanguageModel | None:
+    """Minibatch SGD on embeddings and softmax, until ``seen`` examples were seen, in 8 to 40 rounds. A fifth of the whole texts is set aside to fit the temperature
     and the confidence under which a text is rejected, so that at most that share of them is."""
     if not len(examples):
         return None
@@ -130,6 +130,7 @@ def train(examples: pa.Table, size: int = 16, epochs: int = 8, rate: float = 20.
             x[:, d] = np.bincount(owner, embed[ids, d] * shares, minlength=n)
         return x
 
+    epochs = max(8, min(40, seen // len(kept)))
     steps, total = 0, epochs * max(1, len(kept) // 64)
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(kept), max(1, len(kept) // 64)):
@@ -141,9 +142,9 @@ def train(examples: pa.Table, size: int = 16, epochs: int = 8, rate: float = 20.
             step = rate * (1 - steps / total)
             steps += 1
             back = off @ weights.T
-            seen, place = np.unique(ids, return_inverse=True)
+            used, place = np.unique(ids, return_inverse=True)
             for d in range(size):
-                embed[seen, d] -= step * np.bincount(place, back[owner, d] * shares).astype(np.float32)
+                embed[used, d] -= step * np.bincount(place, back[owner, d] * shares).astype(np.float32)
             weights -= 0.05 * step * (x.T @ off)
             bias -= 0.01 * step * off.sum(0)
     table = embed @ weights
