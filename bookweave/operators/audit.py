@@ -88,8 +88,9 @@ def token_check(tokens: DataFrame, now_ns: Column, expected_hash: Column, max_ag
     return tokens.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
 
-def receipts(acted: DataFrame, model_id: str) -> DataFrame:
-    """Receipt columns of acted events (event_id, ts_ns, action_type, partition_hash, drift_score)."""
+def receipts(acted: DataFrame, model_id: str, *keep: str) -> DataFrame:
+    """Receipt columns of acted events (event_id, ts_ns, action_type, partition_hash, drift_score), after the
+    columns to keep."""
     base = acted.withColumns(
         {
             "input_hash": sha256_of(F.col("event_id")),
@@ -100,6 +101,7 @@ def receipts(acted: DataFrame, model_id: str) -> DataFrame:
     token = F.substring(sha256_of(*[F.col(c) for c in ("input_hash", "coherence_hash", "policy_hash")]), 1, 32)
     with_token = base.withColumn("token_id", token)
     return with_token.select(
+        *keep,
         "ts_ns",
         F.lit(model_id).alias("model_id"),
         "input_hash",

@@ -11,7 +11,7 @@ from bookweave.functions.scalars import (
     event_id,
     ms_to_ns,
 )
-from bookweave.operators.ordered import lag_of, max_of, row_numbers, running, sum_of, unwrap
+from bookweave.operators.ordered import count_of, lag_of, max_of, min_of, row_numbers, running, sum_of, unwrap
 from bookweave.schemas import DAY_NS, EVENT_LOG_PREFIX, HOUR_NS, SEGMENT_PREFIX, table_schema
 from bookweave.session import cut_lineage
 from bookweave.sources.frames import is_number, kind_of, parser_for
@@ -326,14 +326,21 @@ def sequencer(events: DataFrame, arrival: list[str], reset: Column | None = None
 
 def release_times(events: DataFrame, arrival: list[str], tolerance_ns: int) -> DataFrame:
     """Batch form of the reorder buffer: in arrival order, an event leaves once the newest time seen
-    minus the tolerance reaches its own; ``late`` marks events older than what had already left."""
+    minus the tolerance reaches its own, the rest at the end. ``late`` marks events older than one that had
+    already left; ``release_no`` is the order of leaving (step, then time, then arrival)."""
     ts = F.col("ts_exchange_ns")
-    rows = running(
-        events, [], arrival, newest=max_of(ts), newest_before=max_of(ts, "previous")
-    )
-    return rows.withColumns(
-        {
-            "cutoff_ns": F.col("newest") - tolerance_ns,
-            "late": F.coalesce(ts <= F.col("newest_before") - tolerance_ns, F.lit(False)),
-        }
-    ).drop("_chunk", "newest", "newest_before")
+    never = F.lit(1 << 40)  # step of those that leave at the end
+    rows = running(events, [], arrival, _newest=max_of(ts), _before=max_of(ts, "previous"), _step=count_of()).drop("_chunk")
+    rows = cut_lineage(rows)
+    # the first step whose newest time reaches an event's due time: steps that set a new maximum, from above
+    steps = rows.filter("_before IS NULL OR _newest > _before").select((-F.col("_newest")).alias("_down"), F.lit(0).alias("_kind"), F.col("_step").alias("_set"))
+    due = rows.withColumns({"_down": -(ts + tolerance_ns), "_kind": F.lit(1)})
+    due = running(due.unionByName(steps, allowMissingColumns=True), [], ["_down", "_kind"], _at=min_of(F.col("_set"))).filter("_kind = 1")
+    left = cut_lineage(due.withColumn("_left", F.greatest("_step", F.coalesce("_at", never))).drop("_chunk", "_set", "_at", "_kind", "_down"))
+    # the newest time that had left before an arrival
+    gone = left.select(F.col("_left").alias("_spot"), F.lit(1).alias("_kind"), ts.alias("_gone"))
+    seen = left.withColumns({"_spot": F.col("_step"), "_kind": F.lit(0)}).unionByName(gone, allowMissingColumns=True)
+    seen = running(seen, [], ["_spot", "_kind"], _latest=max_of(F.col("_gone"))).filter("_kind = 0").drop("_chunk", "_gone", "_spot", "_kind")
+    marked = seen.withColumns({"cutoff_ns": F.col("_newest") - tolerance_ns, "late": F.coalesce(ts < F.col("_latest"), F.lit(False))})
+    numbered = row_numbers(cut_lineage(marked), [], ["_left", "ts_exchange_ns", "_step"], "release_no")
+    return numbered.select(*events.columns, "cutoff_ns", "late", "release_no")

@@ -14,7 +14,9 @@ where the carry comes from one small row per hot ``(key, chunk)``. Rows are shuf
 
 from __future__ import annotations
 
+import json
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -91,12 +93,21 @@ def with_chunks(
             )
             .collect()
         )
-        for row in inner:  # at most n/2 hot times
+        # a hot time opens a piece, so its bounds are looked up by piece number in one literal, however many
+        # hot times (at most n/2) there are
+        bounds: list[list] = [[] for _ in range(len(cuts) + 1)]
+        position: list[float | None] = [None] * len(bounds)
+        for row in inner:
             if row["a"] == row["b"]:
-                bounds = sorted(set(row["cuts"]))[:: max(1, n // (repeated[row[_POS]] + 1))]
-                literal = F.array(*[F.lit(b) for b in bounds])
-                rank = F.size(F.filter(literal, lambda b: b < F.col(tie))).cast("bigint")
-                fine = F.when(F.col(_POS) == F.lit(row[_POS]), rank).otherwise(fine)
+                piece = bisect_right(cuts, row[_POS])
+                position[piece] = row[_POS]
+                bounds[piece] = sorted(set(row["cuts"]))[:: max(1, n // (repeated[row[_POS]] + 1))]
+        kind = df.schema[tie].dataType.simpleString()
+        piece = F.col(CHUNK).cast("int")
+        own = F.get(F.from_json(F.lit(json.dumps(bounds)), f"array<array<{kind}>>"), piece)
+        at = F.get(F.from_json(F.lit(json.dumps(position)), "array<double>"), piece)
+        rank = F.size(F.filter(own, lambda b: b < F.col(tie))).cast("bigint")
+        fine = F.when(F.col(_POS) == at, rank).otherwise(fine)
     chunk = F.col(CHUNK).cast("bigint") * F.lit(n + 1) + fine
     if not everything:
         chunk = F.when(key_hash.isin(hot_keys), chunk).otherwise(F.lit(_COLD).cast("bigint"))

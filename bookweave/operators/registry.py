@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookweave.operators.topk import latest_per_key, newest_per_key
 from bookweave.schemas import RISK_SCALE
+from bookweave.session import cut_lineage
 
 # --- model registry ------------------------------------------------------------------------------------
 
@@ -122,8 +123,13 @@ def admitted(segments: DataFrame, capacity: int, min_uncertainty: float = 0.18,
     return reservoir(passed, "segment_id", capacity)
 
 
-def heavy_hitters(rows: DataFrame, value: str, k: int = 256, tracked: int = 10_000) -> DataFrame:
-    """Most frequent values from a mergeable sketch."""
+def heavy_hitters(rows: DataFrame, value: str, k: int = 256) -> DataFrame:
+    """Most frequent values with their exact counts."""
+    return rows.groupBy(value).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), value).limit(k)
+
+
+def heavy_hitters_sketch(rows: DataFrame, value: str, k: int = 256, tracked: int = 10_000) -> DataFrame:
+    """Most frequent values from a mergeable sketch of ``tracked`` values; counts may be too high."""
     top = rows.agg(F.expr(f"approx_top_k({value}, {k}, {tracked})").alias("top"))
     return top.select(F.inline("top")).withColumnsRenamed({"item": value, "count": "n"})
 
@@ -133,21 +139,22 @@ def frequency_sketch(rows: DataFrame, value: str, eps: float = 0.001, confidence
     return rows.agg(F.count_min_sketch(F.col(value), F.lit(eps), F.lit(confidence), F.lit(7)).alias("sketch"))
 
 
-def latency_summary(samples: DataFrame, newest: int = 10_000) -> DataFrame:
-    """Mean and exact percentiles (sorted[floor(n*p)]) of the newest samples per stage. The newest
-    samples are cut per task first, so no stage holds more than ``newest`` rows."""
-    from pyspark.sql import Window as W
-
-    kept = newest_per_key(samples, ["stage"], [F.desc("ts_ns"), F.desc("seq")], newest).drop("rank")
-    ranked = kept.withColumns(
-        {
-            "_rn": F.row_number().over(W.partitionBy("stage").orderBy("value", "seq")) - 1,
-            "_n": F.count(F.lit(1)).over(W.partitionBy("stage")),
-        }
-    )
-    at = lambda p: F.max(F.when(F.col("_rn") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col("value")))
+def latency_summary(samples: DataFrame, newest: int | None = None) -> DataFrame:
+    """Mean and exact percentiles (sorted[floor(n*p)]) per stage, of all samples or only of the ``newest`` ones.
+    Ranks come from the counts of the distinct values, so that repeated values cost one row."""
+    from bookweave.operators.ordered import running, sum_of
+
+    if newest is not None:
+        samples = newest_per_key(samples, ["stage"], [F.desc("ts_ns"), F.desc("seq")], newest).drop("rank")
+    values = samples.groupBy("stage", "value").agg(F.count(F.lit(1)).alias("_times"))
+    values = cut_lineage(values)
+    upto = running(values, ["stage"], ["value"], _upto=sum_of(F.col("_times"))).drop("_chunk")
+    totals = values.groupBy("stage").agg(F.sum("_times").alias("count"), (F.sum(F.col("value") * F.col("_times")) / F.sum("_times")).alias("avg"))
+    ranked = upto.join(totals, "stage")
+    # the value at 0-based rank r is the smallest one with more than r samples up to it
+    at = lambda p: F.min(F.when(F.col("_upto") > F.least(F.floor(F.col("count") * p), F.col("count") - 1), F.col("value")))
     return ranked.groupBy("stage").agg(
-        F.avg("value").alias("avg"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("_n").alias("count")
+        F.max("avg").alias("avg"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("count").alias("count")
     )
 
 
@@ -167,9 +174,9 @@ def newest_segments(segments: DataFrame, column: str, value, limit: int) -> Data
     return found.orderBy(F.desc("start_ts_ns"), F.desc("segment_id")).limit(limit)
 
 
-def history_tail(alerts: DataFrame, limit: int, kept: int = 1000) -> DataFrame:
-    """The last ``limit`` of the newest ``kept`` alerts, oldest first."""
-    newest = alerts.orderBy(F.desc("ts_ns"), F.desc("seq")).limit(min(limit, kept))
+def history_tail(alerts: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` alerts, oldest first."""
+    newest = alerts.orderBy(F.desc("ts_ns"), F.desc("seq")).limit(limit)
     return newest.orderBy("ts_ns", "seq")
 
 

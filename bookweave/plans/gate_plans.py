@@ -256,8 +256,7 @@ def _(spark, d):
 
 
 def receipt_table(spark, d):
-    ids = acted(spark, d).select("ts_ns", F.col("seq").alias("receipt_id"))
-    return A.receipts(acted(spark, d), "gnn-v1").join(ids, "ts_ns")
+    return A.receipts(acted(spark, d).withColumn("receipt_id", F.col("seq")), "gnn-v1", "receipt_id")
 
 
 T0, T1 = 1_704_499_200_000_000_000, 1_705_363_200_000_000_000

@@ -289,13 +289,16 @@ def _(spark, d):
     "K2 K4",
     ME
     + """, a AS (SELECT event_id, ts_exchange_ns, ts_exchange_ns + qty_fp * 100 AS arrival FROM me),
- w AS (SELECT *, max(ts_exchange_ns) OVER (ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING) AS newest,
-   max(ts_exchange_ns) OVER (ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM a)
- SELECT event_id, newest - 300000000000 AS cutoff_ns, coalesce(ts_exchange_ns <= before - 300000000000, false) AS late FROM w""",
+ w AS (SELECT *, row_number() OVER o AS step, max(ts_exchange_ns) OVER o AS newest FROM a WINDOW o AS (ORDER BY arrival, event_id ROWS UNBOUNDED PRECEDING)),
+ reached AS (SELECT newest, min(step) AS first_step FROM w GROUP BY 1),
+ r AS (SELECT w.*, greatest(step, coalesce(first_step, 1099511627776)) AS gone FROM w ASOF LEFT JOIN reached ON w.ts_exchange_ns + 300000000000 <= reached.newest),
+ g AS (SELECT gone, max(max(ts_exchange_ns)) OVER (ORDER BY gone) AS latest FROM r GROUP BY 1)
+ SELECT event_id, r.newest - 300000000000 AS cutoff_ns, coalesce(ts_exchange_ns < g.latest, false) AS late,
+  row_number() OVER (ORDER BY r.gone, ts_exchange_ns, step) AS release_no FROM r ASOF LEFT JOIN g ON r.step > g.gone""",
 )
 def _(spark, d):
     """Arrival is delayed by the quantity, so events overtake each other; tolerance five minutes."""
     events = market_events(spark, d).withColumn("arrival", F.col("ts_exchange_ns") + F.col("qty_fp") * 100)
     return I.release_times(
         events.select("event_id", "ts_exchange_ns", "arrival"), ["arrival", "event_id"], 300_000_000_000
-    ).select("event_id", "cutoff_ns", "late")
+    ).select("event_id", "cutoff_ns", "late", "release_no")

@@ -171,17 +171,22 @@ def _(spark, d):
     return R.admitted(rows, 500).select("segment_id")
 
 
-@query("heavy_hitters", "D37")
+@query("heavy_hitters", "D37", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 50")
 def _(spark, d):
     return R.heavy_hitters(table(spark, d, "events"), "user_id", 50)
 
 
+@query("heavy_hitters_sketch", "D37")
+def _(spark, d):
+    return R.heavy_hitters_sketch(table(spark, d, "events"), "user_id", 50)
+
+
 @query("frequency_sketch", "D37")
 def _(spark, d):
     return R.frequency_sketch(table(spark, d, "events"), "user_id").select(F.length("sketch").alias("n_bytes"))
 
 
-LAT = """, s AS (SELECT event_type AS stage, qty_fp / 1e8 AS value, ts_exchange_ns, seq FROM me QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts_exchange_ns DESC, seq DESC) <= 10000),
+LAT = """, s AS (SELECT event_type AS stage, qty_fp / 1e8 AS value, ts_exchange_ns, seq FROM me),
  l AS (SELECT stage, list(value ORDER BY value) AS v, avg(value) AS a FROM s GROUP BY 1)
  SELECT stage, round(a, 6) AS avg, v[floor(len(v) * 0.5)::BIGINT + 1] AS p50, v[floor(len(v) * 0.95)::BIGINT + 1] AS p95, v[least(floor(len(v) * 0.99)::BIGINT, len(v) - 1) + 1] AS p99, len(v) AS count FROM l"""
 

@@ -12,8 +12,6 @@ from bookweave.operators.ingest import new_events, with_tier
 from bookweave.schemas import HOUR_NS, table_schema
 from bookweave.session import cut_lineage
 
-MAX_PRUNED_BUCKETS = 10_000
-
 
 class EventLog:
     """Market events under ``path``, partitioned by ``hour_bucket`` and sorted by (symbol, time, seq)
@@ -37,13 +35,13 @@ class EventLog:
         return log
 
     def append(self, batch: DataFrame) -> int:
-        """Append the events the log lacks; gives their number. Only the buckets the batch touches are
-        compared (their list is pushed into the scan unless it is very long)."""
+        """Append the events the log lacks; gives their number. Only the buckets between the first and
+        the last one of the batch are read."""
         bucketed = batch.withColumn("hour_bucket", bucket_start(F.col("ts_exchange_ns"), HOUR_NS))
         log = self.read()
-        buckets = [r[0] for r in bucketed.select("hour_bucket").distinct().limit(MAX_PRUNED_BUCKETS + 1).collect()]
-        if len(buckets) <= MAX_PRUNED_BUCKETS:
-            log = log.filter(F.col("hour_bucket").isin(buckets))
+        first, last = bucketed.agg(F.min("hour_bucket"), F.max("hour_bucket")).first()
+        if first is not None:
+            log = log.filter(F.col("hour_bucket").between(first, last))
         # written out first: the new rows are counted and appended from the same result
         fresh = cut_lineage(new_events(log, bucketed))
         (

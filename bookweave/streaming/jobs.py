@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,13 +69,28 @@ def normalized_levels(frames: DataFrame, symbols: DataFrame) -> DataFrame:
     return ingest.priced_rows(ingest.resolve_symbols(ingest.flatten_frames(ingest.parse_frames(frames)), symbols))
 
 
-def append_normalized(log: EventLog, symbols: DataFrame) -> Callable[[DataFrame, int], None]:
+def append_normalized(log: EventLog, symbols: DataFrame, run: str = "run") -> Callable[[DataFrame, int], None]:
     """foreachBatch body: number the batch's events after the last number of each feed and append them,
-    ignoring events the log has."""
+    ignoring events the log has.
+
+    Each batch writes the last number of its feeds to a small table beside the log, before its events. A batch
+    that is run again numbers its events from earlier batches only, so they get the same ids as before."""
+    spark, folder = log.spark, f"{log.path}-sequence/{run}"
+
+    def last_numbers() -> DataFrame:
+        return spark.read.schema("venue_id int, _last bigint, batch bigint").parquet(folder)
+
+    try:
+        last_numbers()
+    except AnalysisException:  # a new run goes on after what the log has
+        start = log.read().groupBy(F.col("venue_id").cast("int").alias("venue_id")).agg(F.max("seq").alias("_last"))
+        start.write.parquet(f"{folder}/batch=-1")
 
     def write(frames: DataFrame, number: int) -> None:
-        rows = ingest.assign_sequence(cut_lineage(normalized_levels(frames, symbols).drop("price", "qty")))
-        last = log.read().groupBy("venue_id").agg(F.max("seq").alias("_last"))
+        rows = cut_lineage(ingest.assign_sequence(cut_lineage(normalized_levels(frames, symbols).drop("price", "qty"))))
+        last = last_numbers().filter(F.col("batch") < number).groupBy("venue_id").agg(F.max("_last").alias("_last"))
+        own = rows.groupBy(F.col("venue_id").cast("int").alias("venue_id")).agg(F.max("seq").alias("n")).join(last, "venue_id", "left")
+        own.select("venue_id", (F.col("n") + F.coalesce("_last", F.lit(0))).alias("_last")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
         numbered = rows.join(last, "venue_id", "left").withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(0)))
         log.append(ingest.project_events(numbered.drop("_last")))
 
