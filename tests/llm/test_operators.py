@@ -216,6 +216,17 @@ def test_lm_base_scores(spark, docs, rows, none):
     assert lm_scoring.score_texts(none).collect() == []
 
 
+def test_lm_rare_words_score_as_those_of_the_head(docs, monkeypatch):
+    given = docs.where("doc_id < 40")
+    whole = {r.doc_id: r for r in lm_scoring.score_texts(given).collect()}
+    monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 20)
+    joined = {r.doc_id: r for r in lm_scoring.score_texts(given).collect()}
+    assert whole.keys() == joined.keys()
+    for k, r in whole.items():
+        assert joined[k].score == pytest.approx(r.score, rel=1e-3) and joined[k].n_known == r.n_known
+        assert joined[k].base_score == pytest.approx(r.base_score)
+
+
 def test_lm_is_causal_and_scores_each_token_once():
     ids, counts = np.arange(40, dtype=np.int64), np.array([0, 37, 3])
     _, targets, scored, text = lm_scoring.text_windows(ids, counts, 100)
