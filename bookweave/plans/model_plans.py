@@ -238,6 +238,18 @@ def _(spark, d):
     return rows.select("seq", F.size("f").alias("n"), *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in (0, 7, 8, 9, 12, 16)])
 
 
+@query(
+    "dense_node_values",
+    "H17",
+    PR
+    + """SELECT seq, k AS pos, round(CASE WHEN list_contains(ks, k) THEN b + k WHEN k = 7 THEN 0.01 WHEN k IN (8, 9) THEN 0.5 ELSE 0 END, 6) AS value FROM pp, generate_series(0, 16) AS t(k)""",
+)
+def _(spark, d):
+    """All 17 values."""
+    rows = props(spark, d).select("seq", F.posexplode(FE.dense_node_features(F.col("p"))).alias("pos", "value"))
+    return rows.select("seq", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
 @query(
     "edge_features",
     "H18",
@@ -262,6 +274,19 @@ def _(spark, d):
     )
 
 
+@query(
+    "packed_values",
+    "H19 H20",
+    PR
+    + """SELECT seq, k AS pos, round(CASE WHEN k = 0 THEN event_type / 10.0::DOUBLE WHEN k <= len(ks) THEN b + ks[k] ELSE 0 END, 6) AS value FROM pp, generate_series(0, 16) AS t(k)""",
+)
+def _(spark, d):
+    """The 8 packed values and the zeros that widen them to 17."""
+    wide = FE.widen_features(FE.packed_features(F.col("event_type"), F.col("p"), 10.0))
+    rows = props(spark, d).select("seq", F.posexplode(wide).alias("pos", "value"))
+    return rows.select("seq", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
 # --- ranking ---------------------------------------------------------------------------------------------------
 
 

@@ -29,25 +29,33 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything that is there (a burst replay) into a table and read it back."""
+def drain(stream: DataFrame, mode: str = "append", end: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over everything that is there (a burst replay) into a table and read it back. ``end`` may
+    add rows to the sources once that is done; the stream then goes on from its checkpoint over them."""
     spark = stream.sparkSession
     out = new_folder(spark, "stream")
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-    )
-    if mode == "append":
-        query = query.format("parquet").option("path", f"{out}/rows").start()
-    else:
-        # update output is not a file format: each batch adds its changed rows under its own number, so a
-        # batch that is run again replaces its own rows
-        def write(batch: DataFrame, number: int) -> None:
-            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/b={number}")
-
-        query = query.foreachBatch(write).start()
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+        )
+        if mode == "append":
+            query = query.format("parquet").option("path", f"{out}/rows").start()
+        else:
+            # update output is not a file format: each batch adds its changed rows under its own number, so a
+            # batch that is run again replaces its own rows
+            def write(batch: DataFrame, number: int) -> None:
+                batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/b={number}")
+
+            query = query.foreachBatch(write).start()
+        query.awaitTermination()
+
+    run()
+    if end:
+        end()
+        run()
     return spark.read.schema(_written(stream, mode)).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
 
 
@@ -102,6 +110,19 @@ def reorder(events: DataFrame, key: str, tolerance_ns: int, capacity: int) -> Da
     return _stateful(events, [key], ReorderProcessor(tolerance_ns, capacity), "append")
 
 
+def reorder_all(events: DataFrame, keys: DataFrame, tolerance_ns: int, capacity: int) -> DataFrame:
+    """All events of the stream in release order per feed: after the last event each feed of ``keys`` (key)
+    gets a flush row, so that what is still held leaves too."""
+    spark, folder = events.sparkSession, new_folder(events.sparkSession, "flush")
+    columns = ["key", "event_id", "ts_exchange_ns", "seq", "arrival", "flush"]
+    types = {f.name: f.dataType for f in events.schema}
+    given = {"key": F.col("key"), "event_id": F.lit(None), "flush": F.lit(True)}
+    flush = keys.select("key").distinct().select(*[given.get(c, F.lit(0)).cast(types[c]).alias(c) for c in columns])
+    flush.limit(0).write.parquet(folder)
+    both = events.select(*columns).unionByName(spark.readStream.schema(flush.schema).parquet(folder))
+    return drain(reorder(both, "key", tolerance_ns, capacity), end=lambda: flush.write.mode("append").parquet(folder))
+
+
 def sequence_gaps(events: DataFrame) -> DataFrame:
     return _stateful(events, ["venue_id", "symbol_id"], SequencerProcessor(), "append")
 

@@ -23,7 +23,7 @@ class ReorderProcessor(StatefulProcessor):
     """Holds events until the newest time seen is ``tolerance`` ahead, then lets them go in
     (time, seq) order. Over ``capacity`` the oldest leave early, down to three quarters. An event older
     than what has left goes out at once and is marked late; nothing is dropped. A row with ``flush`` set
-    lets everything go after it."""
+    lets everything go after it; without an event_id it is no event itself."""
 
     SCHEMA = "key int, event_id string, ts_exchange_ns bigint, seq bigint, release_no bigint, late boolean"
     ORDER = ["arrival", "event_id"]
@@ -53,8 +53,9 @@ class ReorderProcessor(StatefulProcessor):
             out.append((key[0], event_id, ts, seq, count, late))
 
         for ts, seq, event_id, flush in zip(batch.ts_exchange_ns, batch.seq, batch.event_id, batch.flush):
-            heapq.heappush(heap, (int(ts), int(seq), event_id))
-            newest = int(ts) if newest is None else max(newest, int(ts))
+            if not pd.isna(event_id):
+                heapq.heappush(heap, (int(ts), int(seq), event_id))
+                newest = int(ts) if newest is None else max(newest, int(ts))
             while heap and heap[0][0] <= newest - self.tolerance:
                 let_go()
             if len(heap) > self.capacity:
