@@ -11,6 +11,7 @@ from bookweave.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from bookweave.llm.jaccard_join import op4_ngram_jaccard_join
 from bookweave.llm.language_id import op10_language_id
 from bookweave.llm.lm_scoring import op3_lm_scoring
+from bookweave.llm.lsh_forest import op11_lsh_forest
 from bookweave.llm.packing import op2_packing
 from bookweave.llm.quality import op9_quality_classifier
 from bookweave.llm.secrets import op5_secret_scan
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_lsh_forest": op11_lsh_forest,
 }
 SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op6_exact_dedup": OP6_SQL}
