@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bookweave.llm.conversation_repair import op13_conversation_repair
 from bookweave.llm.decontamination import op8_benchmark_decontamination
 from bookweave.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from bookweave.llm.jaccard_join import op4_ngram_jaccard_join
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
     "op11_lsh_forest": op11_lsh_forest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op6_exact_dedup": OP6_SQL}
