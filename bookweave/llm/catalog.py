@@ -16,6 +16,7 @@ from bookweave.llm.lsh_forest import op11_lsh_forest
 from bookweave.llm.packing import op2_packing
 from bookweave.llm.quality import op9_quality_classifier
 from bookweave.llm.secrets import op5_secret_scan
+from bookweave.llm.spelling import op12_spelling_variants
 from bookweave.llm.token_counts import op7_token_counts
 from bookweave.llm.warc import OP1_SQL, op1_warc_revisits
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
     "op11_lsh_forest": op11_lsh_forest,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op6_exact_dedup": OP6_SQL}
