@@ -8,7 +8,6 @@ group is ever collected: hubs and hot groups cost one partial row per task.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookweave.functions.vectors import class_confidence, vec_norm  # noqa: F401
+from bookweave.functions.vectors import vec_norm
+from bookweave.operators.nearest import nearest, nearest_lsh  # noqa: F401
 from bookweave.operators.ordered import count_of, running
 
 MAX_PARAMETERS = 50_000_000
@@ -448,49 +448,7 @@ def best_prediction(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
     return best.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
 
 
-# --- nearest vectors ----------------------------------------------------------------------------------------------
-
-#: Queries that are compared with the corpus in one pass over it.
-QUERY_BLOCK = 4096
-
-
-def nearest(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k by cosine distance for a set of queries (query_id, q) over (id, h).
-
-    The queries go to the tasks in blocks, one pass over the corpus for each; every Arrow batch keeps its own
-    best k per query, so pairs are never emitted, and the final rank runs on k rows per query and batch.
-    """
-    from bookweave.operators.topk import newest_per_key
-
-    rows, found = queries.select("query_id", "q").toLocalIterator(), None
-    while block := list(islice(rows, QUERY_BLOCK)):
-        part = _nearest_in_batches(corpus, queries, block, k)
-        found = part if found is None else found.unionByName(part)
-    found = _nearest_in_batches(corpus.limit(0), queries, [], k) if found is None else found
-    return newest_per_key(found.dropna(subset=["distance"]), ["query_id"], [F.col("distance"), F.col("id")], k)
-
-
-def _nearest_in_batches(corpus: DataFrame, queries: DataFrame, rows: list, k: int) -> DataFrame:
-    ids = [r["query_id"] for r in rows]
-    q = np.array([r["q"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    row_type = corpus.schema["id"].dataType.simpleString()
-
-    def search(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _stack(pdf["h"])
-            norms = np.linalg.norm(x, axis=1)
-            distance = 1 - (x @ unit.T) / np.where(norms == 0, np.nan, norms)[:, None]
-            for j, query_id in enumerate(ids):
-                order = np.lexsort((pdf["id"].to_numpy(), distance[:, j]))[:k]
-                yield pd.DataFrame({"query_id": query_id, "id": pdf["id"].to_numpy()[order], "distance": distance[order, j]})
-
-    return corpus.select("id", F.col("h").cast("array<double>").alias("h")).mapInPandas(
-        search, f"query_id {id_type}, id {row_type}, distance double"
-    )
+# --- ranking ----------------------------------------------------------------------------------------------------
 
 
 def hybrid_scores(rows: DataFrame, terms: list[str], k: int, tie: str, weights: tuple = (0.4, 0.25, 0.2, 0.15)) -> DataFrame:

@@ -326,6 +326,30 @@ def _(spark, d):
     return found.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
+def twentieths(spark, d):
+    """Every row whose id is divisible by 20, as a query against all rows."""
+    return vectors(spark, d).filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("h").alias("q"))
+
+
+@query(
+    "nearest_to_twentieths",
+    "F12",
+    EM
+    + """, un AS (SELECT vec_id, h, sqrt(list_dot_product(h, h)) AS n FROM em) SELECT query_id, id, rank, round(distance, 6) AS distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS id,
+ 1 - list_dot_product(a.h, b.h) / (a.n * b.n) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_dot_product(a.h, b.h) / (a.n * b.n), 12), b.vec_id) AS rank FROM un a, un b WHERE a.vec_id % 20 = 0) WHERE rank <= 10""",
+)
+def _(spark, d):
+    corpus = vectors(spark, d).select(F.col("vec_id").alias("id"), "h")
+    return M.nearest(corpus, twentieths(spark, d), 10).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query("nearest_embeddings_lsh", "F12")
+def _(spark, d):
+    """The approximate form; tests measure its recall against the exact one."""
+    corpus = vectors(spark, d).select(F.col("vec_id").alias("id"), "h")
+    return M.nearest_lsh(corpus, twentieths(spark, d), 10).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "hybrid_scores",
     "F13",

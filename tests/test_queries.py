@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "quality_verdict", "sequence_gaps", "normalized_events", "insert_ignore", "label_rows", "fifo_fills", "positions",
     "backtest_report", "drawdown_monitor", "risk_check", "policy_decisions", "minted_tokens", "journal_links", "level_history",
-    "graph_edges", "neighborhood_nodes", "nearest_embeddings", "reconciliation", "channel_counts", "stream_positions",
+    "graph_edges", "neighborhood_nodes", "nearest_embeddings", "nearest_to_twentieths", "reconciliation", "channel_counts", "stream_positions",
 ]
 
 
