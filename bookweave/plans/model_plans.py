@@ -11,6 +11,7 @@ from bookweave.functions import vectors as V
 from bookweave.operators import labels as L
 from bookweave.operators import model as M
 from bookweave.operators import training as T
+from bookweave.plans import model_sql as MS
 from bookweave.plans.catalog import query
 from bookweave.plans.label_plans import ME, WIN, S, W
 from bookweave.sources.driver_tables import ME_SQL, POLICY_SQL, market_events, model_events, policy_context, table
@@ -380,7 +381,7 @@ def _(spark, d):
     return rows.select("vec_id", F.size("v").alias("n"), F.round(V.vec_sum(F.col("v")), 6).alias("total"), F.round(V.vec_sum(queue), 6).alias("queue_total"))
 
 
-# --- scoring (no SQL form: tested against numpy) -----------------------------------------------------------
+# --- scoring -----------------------------------------------------------
 
 
 def parameters(spark, shapes: list[tuple[str, int, int, int]]):
@@ -441,33 +442,33 @@ def attention_heads(spark, width, head_dim, out):
 
 def flat(df, *columns):
     """The whole vector, one row per number."""
-    return df.select(*columns[:-1], F.posexplode(columns[-1]).alias("pos", "value")).withColumn("value", F.round("value", 9))
+    return df.select(*columns[:-1], F.posexplode(columns[-1]).alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("message_passing", "J2 C12 C13")
+@query("message_passing", "J2 C12 C13", MS.MESSAGES)
 def _(spark, d):
     ((self_layer, types),) = message_layers(spark, [(64, 16)])
     return flat(M.message_passing(node_table(spark, d), edge_table(spark, d), self_layer, types), "id", "h")
 
 
-@query("stacked_message_passing", "J3")
+@query("stacked_message_passing", "J3", MS.STACKED_MESSAGES)
 def _(spark, d):
     return flat(M.stacked_message_passing(node_table(spark, d), edge_table(spark, d), message_layers(spark, [(64, 16), (16, 16)])), "id", "h")
 
 
-@query("attention_pool", "J4")
+@query("attention_pool", "J4", MS.ATTENTION_POOL)
 def _(spark, d):
     heads, out = attention_heads(spark, 64, 16, 32)
     return flat(M.attention_pool(node_table(spark, d), "seed", ["id"], heads, out)[0], "seed", "pooled")
 
 
-@query("attention_weights", "J4")
+@query("attention_weights", "J4", MS.ATTENTION_WEIGHTS)
 def _(spark, d):
     heads, out = attention_heads(spark, 64, 16, 32)
-    return M.attention_pool(node_table(spark, d), "seed", ["id"], heads, out)[1].withColumn("weight", F.round("weight", 9))
+    return M.attention_pool(node_table(spark, d), "seed", ["id"], heads, out)[1].withColumn("weight", F.round("weight", 6))
 
 
-@query("graph_embedding", "J5")
+@query("graph_embedding", "J5", MS.GRAPH_EMBEDDING)
 def _(spark, d):
     heads, out = attention_heads(spark, 16, 4, 16)
     project = M.weight_table(parameters(spark, [("embed", 0, 512, 16)]))[("embed", 0)]
@@ -489,10 +490,10 @@ for _name, _ids in zip(["book_state", "queue_state", "event_stream", "cross_symb
 
         return run
 
-    query(f"family_{_name}", _ids)(_one(_name))
+    query(f"family_{_name}", _ids, MS.family(_name, M.FAMILIES))(_one(_name))
 
 
-@query("composed_embedding", "J12")
+@query("composed_embedding", "J12", MS.composed(M.FAMILIES))
 def _(spark, d):
     return flat(families(spark, d).withColumn("v", M.compose()), "seed", "v")
 
@@ -503,7 +504,7 @@ def mlp_layers(spark, outputs):
     return {n: [w[(f"{n}_0", 0)], w[(f"{n}_1", 0)]] for n in outputs}
 
 
-@query("mlp_forward", "J13")
+@query("mlp_forward", "J13", MS.MLP)
 def _(spark, d):
     layers = mlp_layers(spark, {"net": 3})["net"]
     return flat(vectors(spark, d).withColumn("y", M.mlp(F.col("h"), layers, "relu", "sigmoid")), "vec_id", "y")
@@ -511,20 +512,20 @@ def _(spark, d):
 
 def head_scores(spark, d, names):
     layers = mlp_layers(spark, {n: M.HEADS[n][1] for n in names})
-    return M.score_heads(vectors(spark, d), "h", layers, names).select("vec_id", "head_name", F.round("value", 9).alias("value"), F.round("confidence", 9).alias("confidence"))
+    return M.score_heads(vectors(spark, d), "h", layers, names).select("vec_id", "head_name", F.round("value", 6).alias("value"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("prediction_heads", "J14")
+@query("prediction_heads", "J14", MS.heads({n: M.HEADS[n] for n in M.PREDICTION_HEADS}))
 def _(spark, d):
     return head_scores(spark, d, M.PREDICTION_HEADS)
 
 
-@query("control_heads", "J15")
+@query("control_heads", "J15", MS.heads({n: M.HEADS[n] for n in M.CONTROL_HEADS}))
 def _(spark, d):
     return head_scores(spark, d, M.CONTROL_HEADS)
 
 
-@query("all_heads", "J16")
+@query("all_heads", "J16", MS.heads(M.HEADS))
 def _(spark, d):
     return head_scores(spark, d, list(M.HEADS))
 

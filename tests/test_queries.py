@@ -11,6 +11,8 @@ NAMES = [
     "quality_verdict", "sequence_gaps", "normalized_events", "insert_ignore", "label_rows", "fifo_fills", "positions",
     "backtest_report", "drawdown_monitor", "risk_check", "policy_decisions", "minted_tokens", "journal_links", "level_history",
     "graph_edges", "neighborhood_nodes", "nearest_embeddings", "nearest_to_twentieths", "reconciliation", "channel_counts", "stream_positions",
+    "message_passing", "stacked_message_passing", "attention_pool", "attention_weights", "graph_embedding", "family_book_state", "family_queue_state",
+    "family_event_stream", "family_cross_symbol_regime", "family_strategy_context", "family_risk_context", "composed_embedding", "mlp_forward", "all_heads",
 ]
 
 
