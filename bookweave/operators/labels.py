@@ -133,9 +133,9 @@ def regime_label() -> Column:
     return F.when((F.col("n_prices") < 2) | vol.isNull(), 1).when(vol < 0.0005, 0).when(vol < 0.002, 1).otherwise(2)
 
 
-def label_rows(events: DataFrame, width: int, stride: int) -> DataFrame:
-    """Six labels per non-empty window."""
-    grid = Windows.over(events, width, stride)
+def label_rows(events: DataFrame, width: int, stride: int, grid: Windows | None = None) -> DataFrame:
+    """Six labels per non-empty window, of the grid over the events unless another is given."""
+    grid = grid or Windows.over(events, width, stride)
     stats = trade_slippage(events, window_statistics(events, grid), grid)
     return stats.select(
         "window_index",

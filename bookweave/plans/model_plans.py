@@ -498,9 +498,8 @@ def _(spark, d):
     return flat(families(spark, d).withColumn("v", M.compose()), "seed", "v")
 
 
-def mlp_layers(spark, outputs):
-    shapes = [(f"{n}_{i}", 0, o, k) for n, o_last in outputs.items() for i, (k, o) in enumerate([(64, 32), (32, o_last)])]
-    w = M.weight_table(parameters(spark, shapes))
+def mlp_layers(spark, outputs, width=64, hidden=32):
+    w = M.weight_table(parameters(spark, MS.mlp_shapes(outputs, width, hidden)))
     return {n: [w[(f"{n}_0", 0)], w[(f"{n}_1", 0)]] for n in outputs}
 
 

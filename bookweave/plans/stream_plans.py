@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bookweave.functions.scalars import int_div
 from bookweave.operators import ingest
+from bookweave.operators import model as M
 from bookweave.operators.gate import decide
 from bookweave.operators.ingest import EVENT_COLUMNS
 from bookweave.operators.topk import latest_per_key
+from bookweave.plans import model_sql as MS
 from bookweave.plans.catalog import query
 from bookweave.plans.gate_plans import PO
 from bookweave.plans.ingest_plans import EVENT_COLS, FR, ME, SEQUENCER
+from bookweave.plans.label_plans import WIN, R, S, W, rounded
+from bookweave.plans.model_plans import mlp_layers
 from bookweave.plans.pnl_plans import COOL, FI, POS
 from bookweave.sources import driver_tables as D
 from bookweave.sources.event_log import EventLog
 from bookweave.sources.frames import read_frames, register_parser
 from bookweave.streaming import jobs as J
+from bookweave.streaming import live as LV
 
 
 @query("replayed_events", "K11 K1", ME + f"SELECT {EVENT_COLS} FROM me")
@@ -148,6 +154,96 @@ def _(spark, d):
     return spark.read.schema("seq bigint, type string, rule string").option("recursiveFileLookup", "true").parquet(out)
 
 
+# heads of the decision stream beside those of the model: linear in the features
+def register_live_heads():
+    M.register_head("adversarial_drift", lambda x: (np.abs(x[:, 5]) * 4, np.abs(x[:, 6]) * 6))
+    M.register_head("regime_uncertainty", lambda x: (x[:, 2] * 2, 0.4 + np.abs(x[:, 6])))
+    M.register_head("cancel", lambda x: (x[:, 7] * x[:, 3] * 2, x[:, 3]))
+
+
+LIVE_HEADS = [*M.HEADS, "adversarial_drift", "regime_uncertainty", "cancel"]
+LIVE = (
+    ME
+    + """, fs AS (SELECT *, ts_exchange_ns AS ts_ns, count(*) OVER w AS n, """
+    + ", ".join(f"count(*) FILTER (event_type = {k}) OVER w AS n{k}" for k in range(5))
+    + """, sum(price_fp // 1000000) OVER w AS cents, sum(CASE WHEN side = 0 THEN qty_fp ELSE -qty_fp END) OVER w AS flow, sum(qty_fp) OVER w AS volume FROM me
+   WINDOW w AS (PARTITION BY symbol_id ORDER BY ts_exchange_ns, seq)),
+ ft AS (SELECT *, ["""
+    + ", ".join(f"n{k} / n" for k in range(5))
+    + """, (price_fp // 1000000 - cents / n) / greatest(cents / n, 1), flow / greatest(volume, 1), side]::DOUBLE[] AS h FROM fs)"""
+    + MS.head_rows(M.HEADS, "ft", "seq", 8, 16)
+    + """, mx AS (SELECT *, 0.4::DOUBLE + abs(h[7]) AS mincut, abs(h[6]) * 4 AS drift, abs(h[7]) * 6 AS cusum, h[3] * 2 AS regime_uncertainty, h[8] * h[4] * 2 AS cancel_signal, hv.* EXCLUDE (seq) FROM ft
+   JOIN (SELECT seq AS hseq, """
+    + ", ".join(f"max(value) FILTER (head_name = '{n}') AS {c}" for n, c in [("place", "place_signal"), ("modify", "modify_signal"), ("size", "size_signal"), ("regime_transition", "regime")])
+    + """ FROM hs GROUP BY 1) hv ON hseq = seq),
+ gx AS (SELECT *, NOT (mincut < [0.3, 0.5, 0.8][regime::INT + 1] OR drift > [1.5, 1.0, 0.5][regime::INT + 1] OR cusum > [5.0, 4.0, 2.0][regime::INT + 1]) AS allow_act FROM mx),
+ rx AS (SELECT *, CASE WHEN NOT allow_act THEN 'coherence_gate' WHEN regime_uncertainty > 0.7 AND size_signal > 0.5 THEN 'regime_uncertainty' WHEN drift > 0.6 THEN 'adversarial_drift'
+   WHEN greatest(place_signal, modify_signal, cancel_signal) < 0.1 THEN 'no_signal' END AS rule FROM gx),
+ dx AS (SELECT *, CASE WHEN rule IS NOT NULL THEN 'hold' WHEN place_signal >= modify_signal AND place_signal >= cancel_signal THEN 'place' WHEN modify_signal >= cancel_signal THEN 'modify' ELSE 'cancel' END AS action_type FROM rx),
+ r0 AS (SELECT *, sha256(event_id) AS input_hash, sha256(printf('fallback-no-hash%.6f', drift)) AS coherence_hash, sha256(action_type || ts_ns) AS policy_hash FROM dx WHERE rule IS NULL),
+ r1 AS (SELECT *, left(sha256(input_hash || coherence_hash || policy_hash), 32) AS token_id FROM r0) """
+).replace("hv.* EXCLUDE (seq)", "hv.* EXCLUDE (hseq)")
+
+
+def live_layers(spark):
+    return mlp_layers(spark, {n: spec[1] for n, spec in M.HEADS.items()}, 8, 16)
+
+
+def live(spark, d):
+    """The event table drained through the decision stream."""
+    register_live_heads()
+    events = D.event_stream(spark, d).withColumn("ts_ns", F.col("ts_exchange_ns"))
+    return LV.DecisionStream(spark, J.new_folder(spark, "live"), live_layers(spark), LIVE_HEADS).run(events)
+
+
+@query(
+    "live_predictions",
+    "K13",
+    LIVE + f"SELECT seq, ts_ns, symbol_id, head_name, round(value, 6) AS value, round(confidence, 6) AS confidence FROM hs JOIN fs USING (seq) WHERE head_name IN {tuple(M.PREDICTION_HEADS)}",
+)
+def _(spark, d):
+    return live(spark, d).read("predictions").withColumns({c: F.round(c, 6) for c in ("value", "confidence")})
+
+
+@query("live_decisions", "K13", LIVE + "SELECT seq, ts_ns, symbol_id, flow::BIGINT AS net_qty_fp, action_type, rule, allow_act, allow_act AS allow_write FROM dx")
+def _(spark, d):
+    return live(spark, d).read("decisions")
+
+
+@query(
+    "live_receipts",
+    "K13 A9",
+    LIVE + "SELECT seq AS receipt_id, ts_ns, 'gnn-v1' AS model_id, input_hash, coherence_hash, policy_hash, action_type, token_id, sha256(token_id || input_hash) AS result_hash FROM r1",
+)
+def _(spark, d):
+    return live(spark, d).read("receipts")
+
+
+@query(
+    "live_segments",
+    "K13 A10",
+    LIVE + """SELECT symbol_id, ts_ns AS start_ts_ns, ts_ns AS end_ts_ns, 'action' AS segment_kind, '{"actionType":"' || action_type || '","orderId":"o' || seq || '"}' AS metadata FROM r1 WHERE allow_act""",
+)
+def _(spark, d):
+    return live(spark, d).read("segments")
+
+
+@query(
+    "stream_label_rows",
+    "K7 D17",
+    WIN.replace(
+        f"SELECT k AS window_index, lo + k * {S} AS s, lo + k * {S} + {W} AS e FROM b, generate_series(0, 100000) AS g(k) WHERE lo + k * {S} + {W} <= hi",
+        f"SELECT k AS window_index, k * {S} AS s, k * {S} + {W} AS e FROM (SELECT unnest(generate_series((lo - {W}) // {S} + 1, hi // {S})) AS k FROM b)",
+    )
+    + f"SELECT window_index, {rounded('mid_price_move_bp', 'slippage_bp')}, fill_occurred, cancel_occurred, vol_jump, regime_label FROM lab",
+)
+def _(spark, d):
+    """All labels on the stream, windows aligned to the epoch."""
+    labels = LV.LabelStream(spark, J.new_folder(spark, "labels"), W, S, 3_600_000_000_000)
+    rows = labels.run(D.event_stream(spark, d)).finish()
+    return rows.select("window_index", *R("mid_price_move_bp", "slippage_bp"), "fill_occurred", "cancel_occurred", "vol_jump", "regime_label")
+
+
 @query(
     "frame_files",
     "A1",
