@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +141,27 @@ def frequency_sketch(rows: DataFrame, value: str, eps: float = 0.001, confidence
     return rows.agg(F.count_min_sketch(F.col(value), F.lit(eps), F.lit(confidence), F.lit(7)).alias("sketch"))
 
 
+def frequency_table(rows: DataFrame, value: str, eps: float = 0.001, confidence: float = 0.98) -> DataFrame:
+    """Count-min sketch as a table (line, cell, n): each value counts in one cell of every line, so sketches of
+    parts add up and no task holds more than the cells. Lines and cells follow from ``eps`` and ``confidence``."""
+    return rows.filter(F.col(value).isNotNull()).select(F.explode(_cells(F.col(value), eps, confidence)).alias("c")).groupBy("c.line", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequency_estimates(sketch: DataFrame, values: DataFrame, value: str, eps: float = 0.001, confidence: float = 0.98) -> DataFrame:
+    """Estimated count of each value: its least cell. Never below the true count; above it by more than
+    eps * all rows with a chance of 1 - confidence."""
+    asked = values.select(value).distinct().withColumn("c", F.explode(_cells(F.col(value), eps, confidence)))
+    found = asked.select(value, "c.line", "c.cell").join(sketch, ["line", "cell"], "left")
+    return found.groupBy(value).agg(F.coalesce(F.min(F.coalesce("n", F.lit(0))), F.lit(0)).alias("estimate"))
+
+
+def _cells(value: Column, eps: float, confidence: float) -> Column:
+    lines, width = max(1, math.ceil(-math.log2(1 - confidence))), math.ceil(2 / eps)
+    text = lambda k: F.concat(F.lit(f"{k}:"), value.cast("string"))
+    cell = lambda k: F.conv(F.substring(F.md5(text(k).cast("binary")), 1, 8), 16, 10).cast("bigint") % width
+    return F.array(*[F.struct(F.lit(k).alias("line"), cell(k).alias("cell")) for k in range(lines)])
+
+
 def latency_summary(samples: DataFrame, newest: int | None = None) -> DataFrame:
     """Mean and exact percentiles (sorted[floor(n*p)]) per stage, of all samples or only of the ``newest`` ones.
     Ranks come from the counts of the distinct values, so that repeated values cost one row."""

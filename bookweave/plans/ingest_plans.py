@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bookweave.functions.scalars import decimal_text_to_fixed, fixed_to_double, int_div, ms_to_ns, ns_to_ntz
 from bookweave.operators import ingest as I
 from bookweave.plans.catalog import query
-from bookweave.schemas import INGEST_SCALE, RISK_SCALE
+from bookweave.schemas import DAY_NS, INGEST_SCALE, RISK_SCALE
+from bookweave.session import checkpoint_dir
 from bookweave.sources.driver_tables import FRAMES_SQL, ME_SQL, market_events, raw_frames, symbol_dimension
+from bookweave.sources.event_log import TieredLog
 from bookweave.sources.frames import frame_time_ms
 
 ME = f"WITH {ME_SQL} "
@@ -238,6 +242,25 @@ def _(spark, d):
     return I.with_tier(aged, "ts", NOW).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
+AGED = [NOW, NOW + 10 * DAY_NS, NOW + 355 * DAY_NS]  # the last ages that the log is brought to
+
+
+@query(
+    "tier_moves",
+    "A7",
+    ME
+    + f"""SELECT aged_at, hour_bucket, a AS from_tier, b AS to_tier FROM (SELECT aged_at, hour_bucket, """
+    + ", ".join(f"CASE WHEN {t} - hour_bucket - 3599999999999 < 14400000000000 THEN 'hot' WHEN {t} - hour_bucket - 3599999999999 < 2592000000000000 THEN 'warm' WHEN {t} - hour_bucket - 3599999999999 < 31536000000000000 THEN 'cold' ELSE 'purge' END AS {n}" for t, n in [("aged_before", "a"), ("aged_at", "b")])
+    + f""" FROM (SELECT DISTINCT ts_exchange_ns // 3600000000000 * 3600000000000 AS hour_bucket FROM me), (VALUES (0, {AGED[0]}), ({AGED[0]}, {AGED[1]}), ({AGED[1]}, {AGED[2]})) AS t(aged_before, aged_at)) WHERE a <> b""",
+)
+def _(spark, d):
+    """The events as a log in tiers, brought to three ages; what each of them moved."""
+    log = TieredLog(spark, f"{checkpoint_dir(spark)}/tiers-{uuid.uuid4().hex}")
+    log.append(market_events(spark, d))
+    moves = [(at, *move) for at in AGED for move in log.age(at)]
+    return spark.createDataFrame(moves, "aged_at bigint, hour_bucket bigint, from_tier string, to_tier string")
+
+
 @query(
     "insert_ignore",
     "A3 G5",

@@ -12,6 +12,7 @@ from bookweave.plans.catalog import query
 from bookweave.plans.label_plans import ME
 from bookweave.plans.model_plans import MO, PO
 from bookweave.plans.pnl_plans import FI
+from bookweave.sources.driver_tables import HEADS as D_HEADS
 from bookweave.sources.driver_tables import control_rows, fills, market_events, model_events, policy_context, table
 
 
@@ -186,6 +187,18 @@ def _(spark, d):
     return R.frequency_sketch(table(spark, d, "events"), "user_id").select(F.length("sketch").alias("n_bytes"))
 
 
+@query(
+    "frequency_estimates",
+    "D37",
+    """WITH c AS (SELECT user_id, line, ('0x' || left(md5(line || ':' || user_id), 8))::BIGINT % 2000 AS cell FROM events, generate_series(0, 5) AS g(line) WHERE user_id IS NOT NULL),
+ t AS (SELECT line, cell, count(*) AS n FROM c GROUP BY 1, 2) SELECT user_id, min(n) AS estimate FROM (SELECT DISTINCT * FROM c) JOIN t USING (line, cell) GROUP BY 1""",
+)
+def _(spark, d):
+    """The estimate of every user's number of events."""
+    events = table(spark, d, "events")
+    return R.frequency_estimates(R.frequency_table(events, "user_id"), events.filter("user_id IS NOT NULL"), "user_id")
+
+
 LAT = """, s AS (SELECT event_type AS stage, qty_fp / 1e8 AS value, ts_exchange_ns, seq FROM me),
  l AS (SELECT stage, list(value ORDER BY value) AS v, avg(value) AS a FROM s GROUP BY 1)
  SELECT stage, round(a, 6) AS avg, v[floor(len(v) * 0.5)::BIGINT + 1] AS p50, v[floor(len(v) * 0.95)::BIGINT + 1] AS p95, v[least(floor(len(v) * 0.99)::BIGINT, len(v) - 1) + 1] AS p99, len(v) AS count FROM l"""
@@ -265,12 +278,20 @@ def _(spark, d):
     + """SELECT 'ticks' AS channel, symbol_id, ts_ns, printf('{"channel":"ticks","type":"tick","eventId":"%s","symbolId":%d,"eventType":%d,"priceFp":"%d","qtyFp":"%d","tsNs":"%d"}', event_id, symbol_id, event_type, price_fp, qty_fp, ts_ns) AS payload FROM mo
  UNION ALL SELECT 'fills', symbol_id, ts_ns, printf('{"channel":"fills","type":"fill","orderId":"o%d","symbolId":%d,"venueId":%d,"fillPrice":"%d","fillQty":"%d","tsNs":"%d"}', seq, symbol_id, venue_id, price_fp // 100, qty_fp // 100, ts_ns) FROM mo WHERE event_type = 3
  UNION ALL SELECT 'alerts', symbol_id, ts_ns, printf('{"channel":"alerts","type":"circuit_breaker","reason":"quantity 2","symbolId":%d,"tsNs":"%d"}', symbol_id, ts_ns) FROM mo WHERE qty_fp = 200000000
- UNION ALL SELECT 'alerts', NULL, ts_ns, printf('{"channel":"alerts","type":"kill_switch","reason":"quantity 1","operator":"op","tsNs":"%d"}', ts_ns) FROM mo WHERE qty_fp = 100000000""",
+ UNION ALL SELECT 'alerts', NULL, ts_ns, printf('{"channel":"alerts","type":"kill_switch","reason":"quantity 1","operator":"op","tsNs":"%d"}', ts_ns) FROM mo WHERE qty_fp = 100000000
+ UNION ALL SELECT 'predictions', symbol_id, ts_ns, '{"channel":"predictions","type":"prediction","symbolId":' || symbol_id || ',"prediction":' || round(value, 6) || ',"confidence":' || round(confidence, 6) || ',"horizon":"' || head || '","tsNs":"' || ts_ns || '"}'
+   FROM (SELECT symbol_id, ts_ns, unnest(["""
+    + ", ".join(f"'{n}'" for n, _, _ in D_HEADS)
+    + """]) AS head, unnest(["""
+    + ", ".join(f"{n}_v" for n, _, _ in D_HEADS)
+    + """]) AS value, unnest(["""
+    + ", ".join({"regime_uncertainty": "mincut", "adversarial_drift": "cusum"}.get(n, "0.9::DOUBLE") for n, _, _ in D_HEADS)
+    + """]) AS confidence FROM hd)
+ UNION ALL SELECT 'alerts', NULL, ts_ns, '{"channel":"alerts","type":"coherence_blocked","reasons":[' || array_to_string(list_transform(reasons, lambda r: '"' || r || '"'), ',') || '],"driftScore":' || round(drift, 6) || ',"tsNs":"' || ts_ns || '"}' FROM ctx WHERE NOT allow_act""",
 )
 def _(spark, d):
-    """Ticks, fills and breaker alerts in full; predictions and gate alerts carry doubles and are
-    checked by count in the next query."""
-    return _channels(spark, d).filter("channel <> 'predictions' AND NOT payload LIKE '%coherence_blocked%'")
+    """The payload of every channel."""
+    return _channels(spark, d)
 
 
 def _channels(spark, d):
@@ -278,7 +299,8 @@ def _channels(spark, d):
     filled = fills(spark, d).withColumn("order_id", F.concat(F.lit("o"), "seq"))
     breaker = e.filter("qty_fp = 200000000").withColumn("reason", F.lit("quantity 2"))
     kill = e.filter("qty_fp = 100000000").withColumns({"reason": F.lit("quantity 1"), "operator": F.lit("op")})
-    return R.channels(e, control_rows(spark, d), filled, breaker, kill, policy_context(spark, d))
+    six = lambda rows, *names: rows.withColumns({n: F.round(n, 6) for n in names})
+    return R.channels(e, six(control_rows(spark, d), "value", "confidence"), filled, breaker, kill, six(policy_context(spark, d), "drift_score"))
 
 
 @query(

@@ -20,7 +20,7 @@ from bookweave.plans.model_plans import mlp_layers
 from bookweave.plans.pnl_plans import COOL, FI, POS
 from bookweave.sources import driver_tables as D
 from bookweave.sources.event_log import EventLog
-from bookweave.sources.frames import read_frames, register_parser
+from bookweave.sources.frames import read_array_frames, read_frames, register_parser
 from bookweave.streaming import jobs as J
 from bookweave.streaming import live as LV
 
@@ -262,6 +262,27 @@ def _(spark, d):
     return frames.groupBy("venue_id", "received_at_ns", kind).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "frame_array_files",
+    "A1",
+    FR
+    + """SELECT venue_id, CASE WHEN k = 1 AND event_type <> 3 THEN NULL ELSE ts_exchange_ns // 1000000 * 1000000 END AS received_at_ns, CASE WHEN k <> 2 THEN route0 ELSE 'ping' END AS kind, count(*) AS n FROM fr GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    """All frames as JSON arrays of 100 or so, several to a file, read in pieces of the files."""
+    folder = J.new_folder(spark, "arrays")
+    frames = D.raw_frames(spark, d)
+    parts = F.pmod(F.xxhash64("data"), F.ceil(frames.count() / F.lit(100)))
+    arrays = frames.groupBy("venue_id", parts.alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("data"), ", "), F.lit("]")).alias("value"))
+    arrays.select("venue_id", "value").write.partitionBy("venue_id").text(folder)
+    found = None
+    for venue in range(3):
+        part = read_array_frames(spark, f"{folder}/venue_id={venue}", venue).drop("file")
+        found = part if found is None else found.unionByName(part)
+    kind = F.get_json_object("data", "$.e").alias("kind")
+    return found.groupBy("venue_id", "received_at_ns", kind).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("buffered_events", "A15", ME + "SELECT event_id, ts_exchange_ns FROM me")
 def _(spark, d):
     out = J.new_folder(spark, "buffered")
