@@ -17,9 +17,9 @@ U = np.uint64
 #: Signature orders (trees), and the chance that a pair just at the threshold shares no region of any of them.
 TREES, MISS = 32, 1e-9
 #: A region of more sets than this goes deeper.
-REGION = 512
+REGION = 2048
 #: Members and shingles that one verification block holds, about.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 800_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 800_000
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 SMALL_IDS = 500_000
 
