@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookweave.llm.common import bucket_of_id, slices, table
+from bookweave.operators.topk import newest_per_key
 
 BITS = 16
 BUCKETS = 1 << BITS
-#: Labelled rows that the model is fitted on, at most: those with the smallest hash of the id.
+#: Labelled rows that the model is fitted on, about: of each language, an equal number with the smallest hash of the id.
 SAMPLE_ROWS = 3000
+#: Subwords that count as known ones in every text, so that a few new ones do not make a short text unfamiliar.
+GIVEN = 60
 UNKNOWN = "und"
 
 
@@ -26,6 +29,8 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    known: np.ndarray  # [2 * BUCKETS]: 1 for subwords of the training texts
+    familiar: float
 
 
 def subwords(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -51,17 +56,26 @@ def per_text(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def logits(texts: pa.Array, model: LanguageModel) -> np.ndarray:
+def logits(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the languages, and the share of subwords that the training texts have too."""
     grams, starts, ends = subwords(texts)
     total = np.zeros((len(texts), len(model.languages)))
-    count = np.zeros(len(texts))
+    count, known = np.zeros(len(texts)), np.zeros(len(texts))
     for order, ids in zip((2, 4), grams):
         stop = np.maximum(ends - order + 1, starts)
         count += stop - starts
+        known += per_text(model.known[(order == 4) * BUCKETS :][:BUCKETS][ids], starts, stop)
         for k in range(len(model.languages)):
             weights = np.ascontiguousarray(model.table[(order == 4) * BUCKETS :][:BUCKETS, k], np.float32)
             total[:, k] += per_text(weights[ids], starts, stop)
-    return total / np.maximum(count, 1)[:, None] + model.bias
+    return total / np.maximum(count, 1)[:, None] + model.bias, (known + GIVEN) / (count + GIVEN)
+
+
+def judged(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the language, its probability, whether the text is rejected) of each text with a letter."""
+    raw, familiar = logits(texts, model)
+    sure = softmax(raw / model.temperature)
+    return sure.argmax(1), sure.max(1), (sure.max(1) < model.threshold) | (familiar < model.familiar)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -98,8 +112,11 @@ def features(batches):
 
 
 def train(examples: pa.Table, size: int = 16, seen: int = 48_000, rate: float = 20.0, max_false_rejection: float = 0.0005) -> LanguageModel | None:
-    """Minibatch SGD on embeddings and softmax, until ``seen`` examples were seen, in 8 to 40 rounds. A fifth of the whole texts is set aside to fit the temperature
-    and the confidence under which a text is rejected, so that at most that share of them is."""
+    """Minibatch SGD on embeddings and softmax, until ``seen`` examples were seen, in 8 to 40 rounds. A fifth of the
+    whole texts is set aside to fit the temperature and the confidence under which a text is rejected, so that at
+    most that share of them is, and none that is clearly more probable than a guess. The share of known subwords under which a text counts as in no learned language
+    is set as well: each language in turn is left out, and the limit lies midway between its texts, seen with the
+    others' subwords, and the set-aside texts, but well below the latter's least ones (their distance from 1 again)."""
     if not len(examples):
         return None
     langs, doc_ids, whole = (examples.column(c).to_pylist() for c in ("lang", "doc_id", "whole"))
@@ -158,18 +175,36 @@ def train(examples: pa.Table, size: int = 16, seen: int = 48_000, rate: float =
     sure = softmax(raw / temperature)
     right = sure.max(1)[sure.argmax(1) == truth]
     threshold = float(np.quantile(right, max_false_rejection)) if len(right) else 0.0
-    return LanguageModel(languages, table, bias, temperature, min(threshold, 0.5))
+    per_language = np.zeros((len(languages), 2 * BUCKETS), bool)
+    for k in kept:
+        per_language[rows[k][2], rows[k][0]] = True
+    times = {k: len(rows[k][0]) / max(1e-9, float(rows[k][1].sum())) for k in held}
+
+    def familiarity(k: int, known: np.ndarray) -> float:
+        return float((rows[k][1][known[rows[k][0]]].sum() * times[k] + GIVEN) / (times[k] + GIVEN))
+
+    known = per_language.any(0)
+    own_share = np.quantile([familiarity(k, known) for k in held], max_false_rejection)
+    others = [np.delete(per_language, k, 0).any(0) for k in range(len(languages))]
+    strange = [familiarity(k, others[rows[k][2]]) for k in held] if len(languages) > 1 else [0.0]
+    familiar = min(own_share - (1 - own_share), (own_share + np.quantile(strange, 0.9)) / 2)
+    return LanguageModel(languages, table, bias, temperature, min(threshold, 1.2 / len(languages)), known.astype(np.float32), float(familiar))
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
-    """Fit on at most ``sample_rows`` rows that have a language, an id and a text and whose crc32(id) mod 5 is
-    not 0: those with the smallest hash of the id. Only distinct subwords of these rows reach the driver."""
+    """Fit on about ``sample_rows`` rows that have a language, an id and a text and whose crc32(id) mod 5 is not 0: of
+    each language an equal number, those with the smallest hash of the id (at least 20 of each, so very many
+    languages make the sample larger). Only distinct subwords of these rows reach the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of_id(F.col("doc_id"), 5) != 0))
-    labelled = labelled.withColumn("_order", F.xxhash64("doc_id"))
-    last = labelled.select("_order").orderBy("_order").limit(sample_rows).agg(F.max("_order")).first()[0]
-    if last is None:
+    labelled = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("_order"))
+    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
         return None
-    chosen = labelled.where(F.col("_order") <= last).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    each = max(20, sample_rows // languages)
+    # the hash up to which a language's rows are taken, from ids alone; then the texts of just these
+    last = newest_per_key(labelled.select("lang", "_order"), ["lang"], [F.col("_order")], each).groupBy("lang").agg(F.max("_order").alias("_last"))
+    chosen = labelled.join(F.broadcast(last), "lang").where(F.col("_order") <= F.col("_last"))
+    chosen = newest_per_key(chosen, ["lang"], [F.col("_order"), F.col("text")], each).select("doc_id", "lang", "text")
     got = chosen.mapInArrow(features, "doc_id bigint, lang string, whole boolean, ids array<int>, shares array<float>")
     return train(got.toArrow())
 
@@ -179,7 +214,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0 and is rejected; so is every text if there
     was nothing to learn from. Else the score is the calibrated probability of the language, and the text
-    is rejected if that is under the model's threshold. Whole texts are read, of any length; repeated rows
+    is rejected if that is under the model's threshold or too few of its subwords are known. Whole texts are read, of any length; repeated rows
     give repeated results, an empty table an empty one; other columns are not read."""
 
     def predict(batches):
@@ -190,9 +225,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
                 if model is None:
                     out += [(UNKNOWN, 0.0, True)] * len(texts)
                     continue
-                sure = softmax(logits(texts, model) / model.temperature)
-                best, top = sure.argmax(1), sure.max(1)
-                out += [(model.languages[k], float(p), bool(p < model.threshold)) if ok else (UNKNOWN, 0.0, True) for k, p, ok in zip(best, top, letters)]
+                out += [(model.languages[k], float(p), bool(no)) if ok else (UNKNOWN, 0.0, True) for k, p, no, ok in zip(*judged(texts, model), letters)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "rejected"],
@@ -221,7 +254,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 if model is None:
                     mask.append(np.zeros(len(texts), bool))
                 else:
-                    mask.append(letters & (softmax(logits(texts, model) / model.temperature).max(1) >= model.threshold))
+                    mask.append(letters & ~judged(texts, model)[2])
             if mask:
                 yield batch.filter(pa.array(np.concatenate(mask)))
 
