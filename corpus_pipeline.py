@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: The language model has no SQL form; tests/llm holds the run against a brute-force version.
+#: The language model has no SQL form; tests/llm/test_filters.py holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
