@@ -130,6 +130,34 @@ def _(spark, d):
     return J.drain(J.live_nodes(nodes))
 
 
+DAY = 86_400_000_000_000
+_LEAVES = "CASE WHEN kind IN (4, 5, 7) THEN created WHEN kind = 3 AND (depth = 0 OR cancel >= 1) OR kind = 2 AND depth = 0 THEN updated END"
+
+
+@query(
+    "stream_retention",
+    "K10 I15",
+    ME.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", si AS (SELECT 'ev:' || event_id AS id, 5 AS kind, ts_exchange_ns AS ts, seq, NULL::DOUBLE AS depth, 0 AS cancel FROM me
+   UNION ALL SELECT 'trd:' || event_id, 4, ts_exchange_ns, seq, NULL, 0 FROM me WHERE event_type = 3
+   UNION ALL SELECT 'ord:' || order_id_hash, 3, ts_exchange_ns, seq, CASE WHEN event_type < 2 THEN qty_fp WHEN event_type = 2 THEN 0 END, (event_type = 2)::INT FROM me WHERE event_type < 4 AND order_id_hash IS NOT NULL
+   UNION ALL SELECT 'pl:' || symbol_id || ':' || venue_id || ':' || price_fp || ':' || side, 2, ts_exchange_ns, seq, CASE WHEN event_type = 4 THEN qty_fp END, 0 FROM me WHERE event_type IN (0, 4)
+   UNION ALL SELECT 'sym:' || symbol_id, 0, ts_exchange_ns, seq, NULL, 0 FROM me WHERE event_type IN (0, 3, 4)),
+ nr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, seq) AS rn, count(*) OVER (PARTITION BY id) AS n FROM si),
+ st AS (SELECT id, kind, rn, n, ts AS created, ts AS updated, coalesce(depth, 0) AS depth, cancel, NULL::BIGINT AS gone_created, NULL::BIGINT AS gone_updated, NULL::BIGINT AS gone FROM nr WHERE rn = 1
+   UNION ALL SELECT id, kind, rn, n, CASE WHEN dead THEN ts ELSE created END, ts, coalesce(set_depth, CASE WHEN dead THEN 0 ELSE depth END), CASE WHEN dead THEN set_cancel ELSE greatest(cancel, set_cancel) END,
+     CASE WHEN dead THEN created END, CASE WHEN dead THEN updated END, CASE WHEN dead THEN leaves + 1 END
+   FROM (SELECT st.id, st.kind, nr.rn, st.n, st.created, st.updated, st.depth, st.cancel, nr.ts, nr.depth AS set_depth, nr.cancel AS set_cancel, {_LEAVES.replace("kind", "st.kind").replace("depth", "st.depth").replace("cancel", "st.cancel").replace("created", "st.created").replace("updated", "st.updated")} + {DAY} AS leaves,
+     coalesce(leaves < nr.ts, false) AS dead FROM st JOIN nr ON nr.id = st.id AND nr.rn = st.rn + 1)),
+ wm AS (SELECT max(ts_exchange_ns) // 1000000 - 3600000 AS ms FROM me)
+ SELECT id, kind, gone_created AS created_at_ns, gone_updated AS updated_at_ns, gone AS removed_at_ns FROM st WHERE gone IS NOT NULL
+ UNION ALL SELECT id, kind, created, updated, {_LEAVES} + {DAY + 1} FROM st, wm WHERE rn = n AND ({_LEAVES} + {DAY}) // 1000000 + 1 <= ms""",
+)
+def _(spark, d):
+    """What a retention of a day lets go while the events stream in, by kind, last sight and depth."""
+    return J.drain(J.removed_nodes(J.node_sights(D.event_stream(spark, d)), DAY, "1 hour"))
+
+
 @query(
     "stream_latest",
     "K12",

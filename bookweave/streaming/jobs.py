@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookweave.functions.scalars import ns_to_timestamp
+from bookweave.functions.scalars import level_key, ns_to_timestamp, order_key, symbol_key, time_bucket_key
 from bookweave.operators import ingest
+from bookweave.schemas import NODE
 from bookweave.session import checkpoint_dir, cut_lineage
 from bookweave.sources.event_log import EventLog
 from bookweave.streaming.processors import (
     CooldownProcessor,
     PositionProcessor,
     ReorderProcessor,
+    RetentionProcessor,
     SequencerProcessor,
 )
 
@@ -64,10 +66,10 @@ def _written(stream: DataFrame, mode: str):
     return schema if mode == "append" else schema.add("batch", T.IntegerType())
 
 
-def _stateful(rows: DataFrame, keys: list[str], processor, mode: str) -> DataFrame:
+def _stateful(rows: DataFrame, keys: list[str], processor, mode: str, time: str = "None") -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode=mode, timeMode="None"
+        statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode=mode, timeMode=time
     )
 
 
@@ -164,6 +166,35 @@ def append_unique(log: EventLog) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: log.append(batch)
 
 
+def node_sights(events: DataFrame) -> DataFrame:
+    """The nodes that each event makes or touches: (id, kind, ts_ns, seq, depth, cancel), with the depth that the
+    event states for it, if it does. Orders go by their hash; a snapshot states a level's depth, a new or changed
+    order its own, a cancel leaves its order empty."""
+    c, of = F.col, lambda *types: F.col("event_type").isin(*types)
+    quantity, none = c("qty_fp").cast("double"), F.lit(None).cast("double")
+
+    def sight(when, kind: str, node_id, depth=none, cancel=F.lit(0)):
+        return F.when(when, F.struct(node_id.alias("id"), F.lit(NODE[kind]).alias("kind"), depth.alias("depth"), cancel.cast("int").alias("cancel")))
+
+    order = F.when(of(0, 1), quantity).when(of(2), 0.0)
+    nodes = F.array(
+        sight(of(0, 1, 2, 3, 4), "Event", F.concat(F.lit("ev:"), "event_id")),
+        sight(of(3), "Trade", F.concat(F.lit("trd:"), "event_id")),
+        sight(of(5), "TimeBucket", time_bucket_key(c("symbol_id"), c("ts_exchange_ns"))),
+        sight(of(0, 1, 2, 3) & c("order_id_hash").isNotNull(), "Order", order_key(c("order_id_hash")), order, of(2)),
+        sight(of(0, 4), "PriceLevel", level_key(c("symbol_id"), c("venue_id"), c("price_fp"), c("side")), F.when(of(4), quantity)),
+        sight(of(0, 3, 4, 5), "Symbol", symbol_key(c("symbol_id"))),
+    )
+    return events.select(c("ts_exchange_ns").alias("ts_ns"), "seq", F.inline(F.filter(nodes, lambda n: n.isNotNull())))
+
+
+def removed_nodes(sights: DataFrame, retention_ns: int, delay: str) -> DataFrame:
+    """The nodes that leave the sliding window, as event time passes (see ``RetentionProcessor``)."""
+    timed_rows = sights.withColumn("at", ns_to_timestamp(F.col("ts_ns"))).withWatermark("at", delay)
+    processor = RetentionProcessor(retention_ns, [NODE[k] for k in ("Event", "Trade", "TimeBucket")], NODE["Order"], NODE["PriceLevel"])
+    return _stateful(timed_rows, ["id"], processor, "append", "EventTime")
+
+
 def live_nodes(nodes: DataFrame, retention: str = "60 seconds") -> DataFrame:
     """Node rows (id, ts_exchange_ns) on first sight; a node's state expires after the retention, so a
     later sight makes it anew, as after compaction."""

@@ -157,3 +157,65 @@ class CooldownProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class RetentionProcessor(StatefulProcessor):
+    """Nodes of the sliding window. Rows are sights of a node (kind, time, and what they set: ``depth`` or nothing,
+    ``cancel`` 0 or 1). Out goes a row for each node that the retention lets go: events, trades and time buckets by
+    their first sight, orders that are empty or cancelled and empty price levels by their last. Other kinds stay.
+    A node that is seen again afterwards begins anew. What happens depends on event time only: a later sight or,
+    without one, the watermark brings a removal out."""
+
+    SCHEMA = "id string, kind int, created_at_ns bigint, updated_at_ns bigint, removed_at_ns bigint"
+    ORDER = ["ts_ns", "seq"]
+
+    def __init__(self, retention_ns: int, by_creation: list[int], order: int, level: int):
+        self.retention, self.by_creation, self.order, self.level = retention_ns, set(by_creation), order, level
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.node = handle.getValueState("node", "kind int, created bigint, updated bigint, depth double, cancel int")
+
+    def _leaves(self, node: tuple) -> int | None:
+        """The last moment at which the node is there, if nothing happens to it; None if it stays."""
+        kind, created, updated, depth, cancel = node
+        if kind in self.by_creation:
+            return created + self.retention
+        if (kind == self.order and (depth == 0 or cancel >= 1)) or (kind == self.level and depth == 0):
+            return updated + self.retention
+        return None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = _batch(rows, self.ORDER)
+        node = self.node.get() if self.node.exists() else None
+        out = []
+        for kind, ts, depth, cancel in zip(batch.kind, batch.ts_ns, batch.depth, batch.cancel):
+            ts = int(ts)
+            leaves = self._leaves(node) if node else None
+            if leaves is not None and leaves < ts:
+                out.append((key[0], node[0], node[1], node[2], leaves + 1))
+                node = None
+            _, created, updated, held, cancelled = node or (None, ts, ts, 0.0, 0)
+            node = (int(kind), created, max(updated, ts), held if pd.isna(depth) else float(depth), max(cancelled, int(cancel)))
+        if node:
+            self.node.update(node)
+            leaves = self._leaves(node)
+            if leaves is not None:
+                self.handle.registerTimer(leaves // 1_000_000 + 1)
+        if out:
+            yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.node.exists():
+            return
+        node = self.node.get()
+        leaves = self._leaves(node)
+        if leaves is not None and leaves // 1_000_000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.node.clear()
+            yield self._rows([(key[0], node[0], node[1], node[2], leaves + 1)])
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[c.split()[0] for c in self.SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
