@@ -81,15 +81,15 @@ def with_chunks(
         placed = placed.withColumn(CHUNK, F.lit(0.0))
     fine = F.lit(0).cast("bigint")
     hot_times = [c for c, times in repeated.items() if times > 1]
-    numeric = tie is not None and df.schema[tie].dataType.typeName() in ("long", "integer", "double", "float")
-    if hot_times and numeric:
+    number = _number_of(df, tie)
+    if hot_times and number is not None:
         inner = (
             placed.filter(F.col(_POS).isin(hot_times))
             .groupBy(_POS)
             .agg(
                 F.min(time).alias("a"),
                 F.max(time).alias("b"),
-                F.percentile_approx(tie, probabilities, accuracy).alias("cuts"),
+                F.percentile_approx(number, probabilities, accuracy).alias("cuts"),
             )
             .collect()
         )
@@ -102,11 +102,10 @@ def with_chunks(
                 piece = bisect_right(cuts, row[_POS])
                 position[piece] = row[_POS]
                 bounds[piece] = sorted(set(row["cuts"]))[:: max(1, n // (repeated[row[_POS]] + 1))]
-        kind = df.schema[tie].dataType.simpleString()
         piece = F.col(CHUNK).cast("int")
-        own = F.get(F.from_json(F.lit(json.dumps(bounds)), f"array<array<{kind}>>"), piece)
+        own = F.get(F.from_json(F.lit(json.dumps(bounds)), "array<array<double>>"), piece)
         at = F.get(F.from_json(F.lit(json.dumps(position)), "array<double>"), piece)
-        rank = F.size(F.filter(own, lambda b: b < F.col(tie))).cast("bigint")
+        rank = F.size(F.filter(own, lambda b: b < number)).cast("bigint")
         fine = F.when(F.col(_POS) == at, rank).otherwise(fine)
     chunk = F.col(CHUNK).cast("bigint") * F.lit(n + 1) + fine
     if not everything:
@@ -114,6 +113,19 @@ def with_chunks(
     return placed.withColumn(CHUNK, chunk.alias(CHUNK, metadata=note)).drop(_POS)
 
 
+def _number_of(df: DataFrame, tie: str | None) -> Column | None:
+    """A number that grows (not strictly) with a tie column: numbers as they are, times as seconds, texts by their
+    first six bytes. None where there is no such number."""
+    kind = df.schema[tie].dataType.typeName() if tie is not None else None
+    if kind in ("byte", "short", "integer", "long", "float", "double") or (kind or "").startswith("decimal"):
+        return F.col(tie).cast("double")
+    if kind in ("timestamp", "date"):
+        return F.col(tie).cast("timestamp").cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(tie, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return None
+
+
 def _chunked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Reuse chunks cut for the same time and for (a part of) the same keys, else cut anew: chunks of
     other keys need not be monotone inside these."""
@@ -292,7 +304,7 @@ def rolling_counts(
     """Per condition: rows of the key that meet it with time in ``[t - width, t]``, up to the row itself.
 
     Count so far minus the count before ``t - width``: every row also sends a probe at ``t - width``
-    into the same order, so no group spans more than a chunk and dense seconds do not matter.
+    into the same order, so no group spans more than a chunk, and a dense instant is cut as well.
     """
     names = list(conditions)
     df = uncombined(df)
@@ -304,11 +316,9 @@ def rolling_counts(
         (F.col(time) - F.lit(width)).alias("_at"),
         F.lit(0).alias("_kind"),
     )
-    both = with_chunks(real.unionByName(probes), keys, "_at", tie)
+    both = _placed(real.unionByName(probes), keys, tie)
     # a probe sorts before every row of the same instant; the tie column keeps the order total
-    counted = running(
-        _retie(both, tie), keys, ["_at", "_kind", tie], **{f"_n_{n}": sum_of(F.col(f"_hit_{n}")) for n in names}
-    )
+    counted = running(both, keys, ["_at", "_kind", tie], **{f"_n_{n}": sum_of(F.col(f"_hit_{n}")) for n in names})
     ids = [*keys, time, tie]
     own = F.col("_kind") == 1
     return counted.groupBy(*ids).agg(
@@ -319,12 +329,15 @@ def rolling_counts(
     )
 
 
-def _retie(df: DataFrame, tie: str) -> DataFrame:
-    """The fine cut of a hot instant follows ``tie``, but here ``_kind`` sorts before it: undo the
-    fine cut so chunks stay monotone in (time, kind, tie)."""
-    n = shuffle_width(df.sparkSession) + 1
-    coarse = F.when(F.col(CHUNK) == _COLD, F.col(CHUNK)).otherwise(F.col(CHUNK) - F.pmod(F.col(CHUNK), F.lit(n)))
-    return _keep_note(df.withColumn(CHUNK, coarse), df)
+def _placed(both: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """Chunks of rows and probes. ``_kind`` sorts before the tie here, so a dense instant is cut by one number that
+    grows with both."""
+    number = _number_of(both, tie)
+    if number is None:
+        return with_chunks(both, keys, "_at")
+    low, high = both.agg(F.min(number), F.max(number)).first()
+    share = (number - F.lit(low or 0.0)) / F.lit((high or 0.0) - (low or 0.0) + 1)
+    return with_chunks(both.withColumn("_place", F.col("_kind") * 2 + share), keys, "_at", "_place").drop("_place")
 
 
 def fold_in_rounds(
