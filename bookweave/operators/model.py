@@ -20,7 +20,8 @@ from bookweave.functions.vectors import vec_norm
 from bookweave.operators.nearest import nearest, nearest_lsh  # noqa: F401
 from bookweave.operators.ordered import count_of, running
 
-MAX_PARAMETERS = 50_000_000
+#: Parameters that a session lets come to the driver (8 bytes each), unless this setting says otherwise.
+MAX_PARAMETERS, MAX_PARAMETERS_KEY = 50_000_000, "spark.bookweave.maxParameters"
 
 
 # --- weights ----------------------------------------------------------------------------------------
@@ -32,8 +33,9 @@ def weight_table(df: DataFrame, version: int | None = None) -> dict[tuple[str, i
     if version is not None:
         df = df.filter(F.col("version") == version)
     size = df.agg(F.sum(F.size("w") + F.size("b"))).first()[0] or 0
-    if size > MAX_PARAMETERS:
-        raise ValueError(f"{size} parameters exceed the limit of {MAX_PARAMETERS}")
+    limit = int(df.sparkSession.conf.get(MAX_PARAMETERS_KEY, str(MAX_PARAMETERS)))
+    if size > limit:
+        raise ValueError(f"{size} parameters exceed {MAX_PARAMETERS_KEY} = {limit}")
     checked = checked_weights(df)
     return {
         (r["layer"], r["part"]): (np.array(r["w"]).reshape(r["out_dim"], r["in_dim"]), np.array(r["b"]))
@@ -115,10 +117,11 @@ def feature_statistics(rows: DataFrame, features: list[str]) -> DataFrame:
 
 def online_zscore(rows: DataFrame, order: list[str], features: list[str]) -> DataFrame:
     """Each row normalised with the statistics of the rows up to and including it (raw below two
-    rows). Values are shifted by the overall minimum so that the running squares stay exact enough."""
+    rows). Values are shifted by the overall mean, so that the running squares keep their digits however far from
+    zero the values lie."""
     from bookweave.operators.ordered import sum_of
 
-    base = rows.agg(*[F.min(f).alias(f) for f in features]).first()
+    base = rows.agg(*[F.avg(f).alias(f) for f in features]).first()
     shift = {f: float(base[f] or 0.0) for f in features}
     values = {"_n": count_of()}
     for f in features:
@@ -178,8 +181,9 @@ def message_passing(
     def update(h: pd.Series, msg: pd.Series, n: pd.Series) -> pd.Series:
         out = _stack(h) @ w0.T + b0
         count = n.fillna(0).to_numpy(dtype=np.float64)
-        for i in np.flatnonzero(count):
-            out[i] += np.asarray(msg.iloc[i]) / count[i]
+        met = np.flatnonzero(count)
+        if len(met):
+            out[met] += _stack(msg.iloc[met]) / count[met, None]
         return pd.Series(list(np.maximum(out, 0.0)))
 
     joined = nodes.join(messages, "id", "left")
@@ -258,12 +262,17 @@ def attention_pool(
 
 def graph_embedding(
     nodes: DataFrame, edges: DataFrame, key: str, order: list[str], layers: list, heads: list,
-    attention_out: tuple[np.ndarray, np.ndarray], project: tuple[np.ndarray, np.ndarray],
+    attention_out: tuple[np.ndarray, np.ndarray], project: tuple[np.ndarray, np.ndarray], groups: DataFrame | None = None,
 ) -> DataFrame:
-    """Message rounds, attention pool per group, projection, relu. ``nodes``: (id, key, order.., h)."""
+    """Message rounds, attention pool per group, projection, relu. ``nodes``: (id, key, order.., h). A group of
+    ``groups`` without nodes has an embedding of zeros."""
     passed = stacked_message_passing(nodes, edges, layers)
     pooled, _ = attention_pool(passed, key, order, heads, attention_out)
-    return pooled.withColumn("embedding", dense_layer(F.col("pooled"), *project, "relu")).drop("pooled")
+    embedded = pooled.withColumn("embedding", dense_layer(F.col("pooled"), *project, "relu")).drop("pooled")
+    if groups is None:
+        return embedded
+    zeros = F.array_repeat(F.lit(0.0), int(project[0].shape[0]))
+    return groups.select(key).distinct().join(embedded, key, "left").withColumn("embedding", F.coalesce("embedding", zeros))
 
 
 # --- embedding families -----------------------------------------------------------------------------------------
@@ -421,22 +430,29 @@ def score_heads(
     custom = {n: _CUSTOM_HEADS[n] for n in wanted if n in _CUSTOM_HEADS}
     specs = [(n, HEADS[n], layers[n]) for n in wanted if n not in custom]
 
-    @F.pandas_udf("array<struct<head_name:string,value:double,confidence:double>>")
+    @F.pandas_udf("array<double>")
     def score(v: pd.Series) -> pd.Series:
+        """The values of all heads, then their confidences: one flat array per row."""
         x = _stack(v)
         columns = []
-        for name, (activation, _, rule), mats in specs:
+        for _, (activation, _, rule), mats in specs:
             y = x
             for i, (w, b) in enumerate(mats):
                 y = ACTIVATIONS[activation if i == len(mats) - 1 else "relu"](y @ w.T + b)
-            columns.append((name, *_head_values(rule, y)))
-        columns += [(name, *head(x)) for name, head in custom.items()]
-        return pd.Series(
-            [[{"head_name": n, "value": float(a[i]), "confidence": float(c[i])} for n, a, c in columns] for i in range(len(x))]
-        )
+            columns.append(_head_values(rule, y))
+        columns += [head(x) for head in custom.values()]
+        values, confidences = zip(*columns)
+        return pd.Series(list(np.stack([*values, *confidences], axis=1).astype(np.float64)))
 
+    names = [n for n, _, _ in specs] + list(custom)
+    heads = F.array(
+        *[
+            F.struct(F.lit(n).alias("head_name"), F.get("_scores", F.lit(k)).alias("value"), F.get("_scores", F.lit(len(names) + k)).alias("confidence"))
+            for k, n in enumerate(names)
+        ]
+    )
     keep = [c for c in rows.columns if c != vector]
-    return rows.withColumn("_scores", score(F.col(vector))).select(*keep, F.inline("_scores"))
+    return rows.withColumn("_scores", score(F.col(vector))).select(*keep, F.inline(heads))
 
 
 def best_prediction(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
