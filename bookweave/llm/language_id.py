@@ -197,13 +197,17 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None
     languages make the sample larger). Only distinct subwords of these rows reach the driver."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket_of_id(F.col("doc_id"), 5) != 0))
     labelled = labelled.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("_order"))
-    languages = labelled.agg(F.count_distinct("lang")).first()[0]
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    languages = counts.count()
     if not languages:
         return None
     each = max(20, sample_rows // languages)
-    # the hash up to which a language's rows are taken, from ids alone; then the texts of just these
-    last = newest_per_key(labelled.select("lang", "_order"), ["lang"], [F.col("_order")], each).groupBy("lang").agg(F.max("_order").alias("_last"))
-    chosen = labelled.join(F.broadcast(last), "lang").where(F.col("_order") <= F.col("_last"))
+    # hashes are even, so a share of their range holds about four times as many rows as wanted of each language,
+    # whatever the number of tasks; of these the smallest are taken, and then the texts of just these
+    near = F.col("_order") / F.lit(2.0**64) + 0.5 <= 4.0 * each / F.col("_n")
+    ids = labelled.select("lang", "_order").join(counts, "lang").where(near)
+    last = newest_per_key(ids, ["lang"], [F.col("_order")], each).groupBy("lang").agg(F.max("_order").alias("_last"))
+    chosen = labelled.join(last, "lang").where(F.col("_order") <= F.col("_last"))
     chosen = newest_per_key(chosen, ["lang"], [F.col("_order"), F.col("text")], each).select("doc_id", "lang", "text")
     got = chosen.mapInArrow(features, "doc_id bigint, lang string, whole boolean, ids array<int>, shares array<float>")
     return train(got.toArrow())
