@@ -19,6 +19,8 @@ BUCKETS = 1 << BITS
 SAMPLE_ROWS = 3000
 #: Subwords that count as known ones in every text, so that a few new ones do not make a short text unfamiliar.
 GIVEN = 60
+#: One row per language is broadcast up to so many languages.
+SMALL_LANGUAGES = 100_000
 UNKNOWN = "und"
 
 
@@ -205,9 +207,10 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None
     # hashes are even, so a share of their range holds about four times as many rows as wanted of each language,
     # whatever the number of tasks; of these the smallest are taken, and then the texts of just these
     near = F.col("_order") / F.lit(2.0**64) + 0.5 <= 4.0 * each / F.col("_n")
-    ids = labelled.select("lang", "_order").join(counts, "lang").where(near)
+    sent = F.broadcast if languages <= SMALL_LANGUAGES else lambda rows: rows
+    ids = labelled.select("lang", "_order").join(sent(counts), "lang").where(near)
     last = newest_per_key(ids, ["lang"], [F.col("_order")], each).groupBy("lang").agg(F.max("_order").alias("_last"))
-    chosen = labelled.join(last, "lang").where(F.col("_order") <= F.col("_last"))
+    chosen = labelled.join(sent(last), "lang").where(F.col("_order") <= F.col("_last"))
     chosen = newest_per_key(chosen, ["lang"], [F.col("_order"), F.col("text")], each).select("doc_id", "lang", "text")
     got = chosen.mapInArrow(features, "doc_id bigint, lang string, whole boolean, ids array<int>, shares array<float>")
     return train(got.toArrow())
