@@ -408,6 +408,16 @@ def fold_in_rounds(
     return outputs.select(*keys, *out_names), split(held)[1]
 
 
+def independent_bundles(df: DataFrame, keys: list[str], order: list[str], opens: Column, rows_per_bundle: int) -> DataFrame:
+    """Adds ``_bundle``: consecutive rows of a key that a fold can take without what stands before them. A bundle
+    begins at a row where ``opens`` holds (from which on the earlier state does not matter) and ends before the first
+    such row that is ``rows_per_bundle`` rows on; so bundles of a hot key run side by side."""
+    ranked = row_numbers(df.withColumn("_opens", opens), keys, order, "_rn")
+    started = running(ranked, keys, order, _start=max_of(F.when(F.col("_opens"), F.col("_rn"))))
+    bundle = group_of(F.coalesce("_start", F.lit(1).cast("bigint")), rows_per_bundle)
+    return uncombined(started.withColumn("_bundle", bundle)).drop("_opens", "_rn", "_start", CHUNK)
+
+
 def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
     """``row_number`` over (keys, order), starting at 1, through the chunked running count."""
     return running(df, keys, order, **{name: count_of()})

@@ -11,11 +11,14 @@ from bookweave.functions.scalars import int_div
 from bookweave.operators.ordered import (
     count_of,
     fold_in_rounds,
+    independent_bundles,
     lag_of,
     reflected_sum,
     running,
     sum_of,
+    uncombined,
 )
+from bookweave.operators.topk import latest_per_key
 from bookweave.schemas import INGEST_SCALE, RISK_SCALE
 from bookweave.session import cut_lineage
 
@@ -122,25 +125,48 @@ def position_step(scale: int = RISK_SCALE):
     def step(rows, before):
         net, avg, pnl, last = (int(before[c]) for c in POSITION) if before else (0, 0, 0, 0)
         out = []
-        for side, price, qty, ts, seq in zip(rows.side, rows.price_fp, rows.qty_fp, rows.ts_ns, rows.seq):
+        for side, price, qty, ts, seq, part in zip(rows.side, rows.price_fp, rows.qty_fp, rows.ts_ns, rows.seq, rows.part):
             net, avg, pnl = apply_fill(net, avg, pnl, int(side), int(price), int(qty), scale)
             last = int(ts)
-            out.append((last, int(seq), net, avg, pnl))
+            out.append((last, int(seq), int(part), net, avg, pnl))
         return out, dict(zip(POSITION, (net, avg, pnl, last)))
 
     return step
 
 
 def position_history(fills: DataFrame, rows_per_round: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """(position after every fill, final positions). Average entry needs the exact truncated result
-    of the fill before, so this is a sequential fold per symbol, cut into bounded rounds."""
+    """(position after every fill, final positions).
+
+    Average entry needs the exact truncated result of the fill before, so it is a sequential fold; but what stands
+    before a flat position does not matter to it. So the running net quantity tells where a position is flat or turns
+    (a fill that turns it counts as two, one that closes and one that opens), a symbol is cut there into bundles that
+    are folded side by side, and the profit of earlier bundles is added. Only a position that is never flat for
+    more than ``rows_per_round`` fills is folded in rounds."""
+    keys, order = ["symbol_id"], [*FILL_ORDER, "part"]
     slim = fills.select("symbol_id", "side", "price_fp", "qty_fp", "ts_ns", "seq")
+    signed = F.when(F.col("side") == 0, F.col("qty_fp")).otherwise(-F.col("qty_fp"))
+    netted = uncombined(running(slim, keys, FILL_ORDER, _net=sum_of(signed)))
+    before = F.col("_net") - signed
+    turns = F.signum(before) * F.signum("_net") < 0
+    # part 0 is the closing half of a fill that turns the position
+    part = lambda number, qty, opens: F.struct(F.lit(number).alias("part"), qty.alias("qty_fp"), opens.alias("opens"))
+    halves = F.array(part(0, F.abs(before), F.lit(False)), part(1, F.abs("_net"), F.lit(True)))
+    parts = F.when(turns, halves).otherwise(F.array(part(1, F.col("qty_fp"), before == 0)))
+    rows = netted.select(*[c for c in netted.columns if c not in ("_net", "qty_fp")], F.inline(parts))
+    rows = independent_bundles(rows, keys, order, F.col("opens"), rows_per_round).drop("opens")
     history, final = fold_in_rounds(
-        slim, ["symbol_id"], FILL_ORDER, position_step(), POSITION,
-        "ts_ns bigint, seq bigint, net_qty_fp bigint, avg_entry_price_fp bigint, realized_pnl_fp bigint",
+        rows, [*keys, "_bundle"], order, position_step(), POSITION,
+        "ts_ns bigint, seq bigint, part int, net_qty_fp bigint, avg_entry_price_fp bigint, realized_pnl_fp bigint",
         rows_per_round,
     )
-    return history, final.select("symbol_id", *[F.col(c).cast("bigint") for c in POSITION])
+    final = cut_lineage(final.select(*keys, "_bundle", *[F.col(c).cast("bigint").alias(c) for c in POSITION]))
+    gained = running(final, keys, ["_bundle"], _gained=sum_of(F.col("realized_pnl_fp"), "previous"))
+    earlier = gained.select(*keys, "_bundle", F.coalesce("_gained", F.lit(0)).alias("_gained"))
+    pnl = (F.col("realized_pnl_fp") + F.col("_gained")).cast("bigint").alias("realized_pnl_fp")
+    columns = [c for c in history.columns if c not in ("_bundle", "part")]
+    history = history.filter("part = 1").join(earlier, [*keys, "_bundle"]).select(*[pnl if c == "realized_pnl_fp" else c for c in columns])
+    last = latest_per_key(final.join(earlier, [*keys, "_bundle"]), keys, ["_bundle"])
+    return history, last.select("symbol_id", *[pnl if c == "realized_pnl_fp" else c for c in POSITION])
 
 
 def positions(fills: DataFrame, rows_per_round: int = 1_000_000) -> DataFrame:

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from bookweave.functions.scalars import floor_div, int_div
 from bookweave.operators.ordered import (
     count_of,
+    fold_in_rounds,
+    independent_bundles,
+    lag_of,
     last_of,
     max_of,
     reflected_sum,
     rolling_counts,
     running,
     sum_of,
+    uncombined,
 )
 from bookweave.schemas import DAY_NS, RISK_SCALE
 
@@ -217,13 +221,18 @@ def alert_step(cooldown: int):
 
 
 def alert_cooldown(alerts: DataFrame, cooldown_ns: int, rows_per_round: int = 1_000_000) -> DataFrame:
-    """Greedy per type: an alert goes out when none of its type did within the cooldown."""
-    from bookweave.operators.ordered import fold_in_rounds
-
+    """Greedy per type: an alert goes out when none of its type did within the cooldown.
+
+    An alert that comes a cooldown or more after the one before it goes out whatever was sent earlier. A type is
+    cut there into bundles that are folded side by side; only alerts that never pause so long for more than
+    ``rows_per_round`` of them are folded in rounds."""
+    keys, order = ["alert_type"], ["ts_ns", "seq"]
+    rows = running(alerts.select("alert_type", "ts_ns", "seq"), keys, order, _prev=lag_of(F.col("ts_ns")))
+    opens = F.coalesce(F.col("ts_ns") - F.col("_prev.v") >= cooldown_ns, F.lit(True))
+    rows = independent_bundles(uncombined(rows).withColumn("_free", opens).drop("_prev"), keys, order, F.col("_free"), rows_per_round)
     return fold_in_rounds(
-        alerts.select("alert_type", "ts_ns", "seq"), ["alert_type"], ["ts_ns", "seq"],
-        alert_step(cooldown_ns), ["expiry"], "ts_ns bigint, seq bigint, sent boolean", rows_per_round,
-    )[0]
+        rows.drop("_free"), [*keys, "_bundle"], order, alert_step(cooldown_ns), ["expiry"], "ts_ns bigint, seq bigint, sent boolean", rows_per_round
+    )[0].drop("_bundle")
 
 
 def alert_rows(breaker: DataFrame, kill: DataFrame) -> DataFrame:
