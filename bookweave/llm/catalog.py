@@ -10,6 +10,7 @@ from bookweave.llm.conversation_repair import op13_conversation_repair
 from bookweave.llm.decontamination import op8_benchmark_decontamination
 from bookweave.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from bookweave.llm.jaccard_join import op4_ngram_jaccard_join
+from bookweave.llm.jaccard_sql import OP4_SQL, OP11_SQL
 from bookweave.llm.language_id import op10_language_id
 from bookweave.llm.lm_scoring import op3_lm_scoring
 from bookweave.llm.lsh_forest import op11_lsh_forest
@@ -35,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
-SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op6_exact_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op1_warc_revisits": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op11_lsh_forest": OP11_SQL}

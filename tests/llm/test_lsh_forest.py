@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -78,3 +79,15 @@ def test_depth_keeps_the_miss_below_its_bound():
     for percent in (50, 80, 85, 95):
         d = lsh_forest.base_depth(percent)
         assert d == 1 or (1 - (percent / 100) ** d) ** lsh_forest.TREES <= lsh_forest.MISS
+
+
+def test_sql_of_both_joins(spark):
+    from bookweave.llm.jaccard_join import op4_ngram_jaccard_join
+    from bookweave.llm.jaccard_sql import OP4_SQL, OP11_SQL
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for run, sql in [(op4_ngram_jaccard_join, OP4_SQL), (lsh_forest.op11_lsh_forest, OP11_SQL)]:
+        df, cur = run(spark, folder), con.execute(sql)
+        assert sorted(map(tuple, df.select([d[0] for d in cur.description]).collect())) == sorted(cur.fetchall())
