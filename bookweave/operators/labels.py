@@ -1,13 +1,14 @@
 """Sliding-window labels without range joins.
 
-Windows are ``[start + k*stride, +width)``. An event's window numbers are a short integer range, so
-membership is an ``explode`` and every label is a hash aggregate on ``k`` that pre-aggregates on the
-map side. Successive returns come from one ordered pass over the stream: a return counts in a window
-when both of its ends lie in it.
+Windows are ``[start + k*stride, +width)``. Events are summed once per cell (the common divisor of width and
+stride); windows then add up their cells, a short integer range, so every label is a hash aggregate that
+pre-aggregates on the map side. Successive returns come from one ordered pass over the stream: a return counts
+in a window when both of its ends lie in it.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,15 @@ class Windows:
         hi = F.least(F.lit(self.last).cast("bigint"), floor_div(first_ts - F.lit(moved), self.stride))
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
+    def cell(self, ts: Column) -> Column:
+        """Number of the cell that holds a time; windows are runs of whole cells."""
+        return floor_div(ts - F.lit(self.start), math.gcd(self.width, self.stride))
+
+    def span(self, first: Column, last: Column) -> tuple[Column, Column]:
+        """First and last moment of a run of cells."""
+        size = math.gcd(self.width, self.stride)
+        return first * size + self.start, (last + 1) * size + (self.start - 1)
+
 
 MARKET_ORDER = ["ts_exchange_ns", "seq", "event_id"]
 
@@ -59,49 +69,78 @@ def stream_returns(events: DataFrame) -> DataFrame:
     return rows.withColumn("ret", ret).drop("_chunk")
 
 
-def window_statistics(events: DataFrame, grid: Windows) -> DataFrame:
-    """All per-window sums in one aggregate: own events, next window's prices, inner returns."""
-    ts, price = F.col("ts_exchange_ns"), F.col("price_fp")
-    tag = lambda numbers, name: F.transform(
-        numbers, lambda k: F.struct(k.alias("k"), F.lit(name).alias("role"))
+def cell_statistics(events: DataFrame, grid: Windows) -> tuple[DataFrame, DataFrame]:
+    """Sums per cell, and the returns from one cell to a later one.
+
+    A cell is the greatest common divisor of width and stride wide, so every window is a run of whole cells. Events
+    are summed once per cell; a return with both ends in a cell is summed there, and of the others a cell has one at
+    most, at its first price."""
+    returns = stream_returns(events).withColumns({"cell": grid.cell(F.col("ts_exchange_ns")), "from_cell": grid.cell(F.col("prev.t"))})
+    quoted = F.when(F.col("price_fp") > 0, F.col("price_fp").cast("double"))
+    inner = F.when(F.col("from_cell") == F.col("cell"), F.col("ret"))
+    cells = returns.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.sum(quoted).alias("prices"),
+        F.count(quoted).alias("n_prices"),
+        F.bool_or(F.col("event_type") == 3).alias("fill"),
+        F.bool_or(F.col("event_type") == 2).alias("cancel"),
+        *_sums(inner),
     )
-    no_return = F.array().cast("array<bigint>")
-    returns = F.when(F.col("ret").isNotNull(), grid.numbers(F.col("prev.t"), ts)).otherwise(no_return)
-    member = F.concat(
-        tag(grid.numbers(ts, ts), "own"), tag(grid.numbers(ts, ts, 1), "next"), tag(returns, "ret")
-    )
-    rows = stream_returns(events).select("event_type", price, "ret", F.explode(member).alias("m"))
-    own, nxt, ret = (F.col("m.role") == r for r in ("own", "next", "ret"))
-    quoted = F.when(price > 0, price.cast("double"))
-    stats = rows.groupBy(F.col("m.k").alias("window_index")).agg(
-        F.count_if(own).alias("n_events"),
-        F.avg(F.when(own, quoted)).alias("mid"),
-        F.count(F.when(own, quoted)).alias("n_prices"),
-        F.coalesce(F.bool_or(own & (F.col("event_type") == 3)), F.lit(False)).alias("fill_occurred"),
-        F.coalesce(F.bool_or(own & (F.col("event_type") == 2)), F.lit(False)).alias("cancel_occurred"),
-        F.count_if(nxt).alias("n_next"),
-        F.avg(F.when(nxt, quoted)).alias("next_mid"),
-        F.count_if(ret).alias("n_returns"),
-        F.avg(F.when(ret, F.col("ret"))).alias("ret_mean"),
-        F.stddev_pop(F.when(ret, F.col("ret"))).alias("ret_std"),
-        F.min(F.when(ret, F.col("ret"))).alias("ret_min"),
-        F.max(F.when(ret, F.col("ret"))).alias("ret_max"),
+    crossing = returns.filter((F.col("from_cell") < F.col("cell")) & F.col("ret").isNotNull())
+    return cells, crossing.select("from_cell", "cell", *[c.alias(n) for n, c in zip(RETURNS, [F.lit(1), F.col("ret"), F.col("ret") * F.col("ret"), F.col("ret"), F.col("ret")])])
+
+
+RETURNS = ["n_returns", "ret_sum", "ret_squares", "ret_min", "ret_max"]
+
+
+def _sums(ret: Column) -> list[Column]:
+    parts = [F.count(ret), F.sum(ret), F.sum(ret * ret), F.min(ret), F.max(ret)]
+    return [c.alias(n) for n, c in zip(RETURNS, parts)]
+
+
+def window_statistics(events: DataFrame, grid: Windows) -> DataFrame:
+    """All per-window sums: own events, next window's prices, inner returns. Windows add up cells, so an event costs
+    one row, not one for each window that holds it."""
+    cells, crossing = cell_statistics(events, grid)
+    first, last = grid.span(F.col("cell"), F.col("cell"))
+    tag = lambda numbers, name: F.transform(numbers, lambda k: F.struct(k.alias("window_index"), F.lit(name).alias("role")))
+    rows = cells.select("*", F.inline(F.concat(tag(grid.numbers(first, last), "own"), tag(grid.numbers(first, last, 1), "next"))))
+    begin, end = grid.span(F.col("from_cell"), F.col("cell"))
+    across = crossing.select(*RETURNS, F.explode(grid.numbers(begin, end)).alias("window_index")).withColumn("role", F.lit("own"))
+    both = rows.drop("cell").unionByName(across, allowMissingColumns=True)
+    own, nxt = (F.col("role") == r for r in ("own", "next"))
+    of = lambda role, c: F.when(role, F.col(c))
+    n, total, squares = (F.coalesce(F.sum(of(own, c)), F.lit(0)) for c in RETURNS[:3])
+    stats = both.groupBy("window_index").agg(
+        F.coalesce(F.sum(of(own, "n_events")), F.lit(0)).alias("n_events"),
+        F.try_divide(F.sum(of(own, "prices")), F.sum(of(own, "n_prices"))).alias("mid"),
+        F.coalesce(F.sum(of(own, "n_prices")), F.lit(0)).alias("n_prices"),
+        F.coalesce(F.bool_or(of(own, "fill")), F.lit(False)).alias("fill_occurred"),
+        F.coalesce(F.bool_or(of(own, "cancel")), F.lit(False)).alias("cancel_occurred"),
+        F.coalesce(F.sum(of(nxt, "n_events")), F.lit(0)).alias("n_next"),
+        F.try_divide(F.sum(of(nxt, "prices")), F.sum(of(nxt, "n_prices"))).alias("next_mid"),
+        n.alias("n_returns"),
+        F.try_divide(total, n).alias("ret_mean"),
+        F.sqrt(F.greatest(F.lit(0.0), F.try_divide(squares, n) - F.try_divide(total, n) * F.try_divide(total, n))).alias("ret_std"),
+        F.min(of(own, "ret_min")).alias("ret_min"),
+        F.max(of(own, "ret_max")).alias("ret_max"),
     )
     zero = F.lit(0.0)
+    stats = stats.withColumn("ret_std", F.when(F.col("n_returns") > 0, F.col("ret_std")))
     return stats.filter("n_events > 0").withColumns(
         {"mid": F.coalesce("mid", zero), "next_mid": F.coalesce("next_mid", zero)}
     )
 
 
 def trade_slippage(events: DataFrame, stats: DataFrame, grid: Windows) -> DataFrame:
-    """Mean distance of trades from the window mid in bp. Trades are first counted per (window,
-    price), so a busy window joins its mid with few rows."""
-    ts = F.col("ts_exchange_ns")
-    trades = events.filter("event_type = 3")
+    """Mean distance of trades from the window mid in bp. Trades are first counted per (cell, price), then per
+    (window, price), so a busy window joins its mid with few rows."""
+    trades = events.filter("event_type = 3").groupBy(grid.cell(F.col("ts_exchange_ns")).alias("cell"), "price_fp").agg(F.count(F.lit(1)).alias("n"))
+    first, last = grid.span(F.col("cell"), F.col("cell"))
     traded = (
-        trades.select("price_fp", F.explode(grid.numbers(ts, ts)).alias("window_index"))
+        trades.select("price_fp", "n", F.explode(grid.numbers(first, last)).alias("window_index"))
         .groupBy("window_index", "price_fp")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
     distance = F.abs(F.col("price_fp") - F.col("mid"))
     joined = stats.join(traded, "window_index", "left")
