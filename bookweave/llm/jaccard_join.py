@@ -19,6 +19,8 @@ THICK = 1
 CELLS = 64
 #: Members and shingles that one verification block holds, about.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 800_000
+#: Rows of a square matrix of members that are worked on at a time, columns of its factor, and bytes of text.
+STRIP, COLUMNS, PART_BYTES = 256, 1024, 2 << 20
 #: Up to so many candidate ids (8 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 SMALL_IDS = 500_000
 
@@ -202,15 +204,18 @@ def links_in_group(sets: list[np.ndarray], percent: int) -> np.ndarray:
     shared = np.bincount(run)[run] > 1
     column = np.cumsum(new & shared) - 1
     column, owner = column[shared], owner[shared]
-    common = np.zeros((g, g))
+    common = np.zeros((g, g), np.int32)
     width = column[-1] + 1 if len(column) else 0
-    for c in range(0, width, 4096):
-        part = slice(*np.searchsorted(column, [c, c + 4096]))
-        held = np.zeros((g, min(4096, width - c)), np.float32)
+    for c in range(0, width, COLUMNS):
+        part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        held = np.zeros((g, min(COLUMNS, width - c)), np.float32)
         held[owner[part], column[part] - c] = 1
-        common += held @ held.T
-    union = n[:, None] + n[None, :] - common
-    linked = 100 * common >= percent * union
+        for a in range(0, g, STRIP):
+            common[a : a + STRIP] += (held[a : a + STRIP] @ held.T).astype(np.int32)
+    linked = np.zeros((g, g), bool)
+    for a in range(0, g, STRIP):
+        both = common[a : a + STRIP].astype(np.int64)
+        linked[a : a + STRIP] = 100 * both >= percent * (n[a : a + STRIP, None] + n[None, :] - both)
     np.fill_diagonal(linked, False)
     return linked
 
@@ -241,7 +246,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     def emit(batches):
         bands = None
         for batch in batches:
-            for start, texts in slices(batch.column("text")):
+            for start, texts in slices(batch.column("text"), PART_BYTES):
                 sets, counts = shingle_sets(texts, n)
                 if bands is None or (len(counts) and counts.max() >= bands.low[-2]):
                     bands = Bands(percent, min(largest, 2 * int(counts.max(initial=1)) + 1000))
@@ -314,7 +319,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     def regain(batches):
         for batch in batches:
-            for start, texts in slices(batch.column("text")):
+            for start, texts in slices(batch.column("text"), PART_BYTES):
                 sets, counts = shingle_sets(texts, n)
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
@@ -344,16 +349,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
                 linked &= own[:, None] != own[None, :]
             places: dict[int, int] = {}
             at = [(k, places.setdefault(p, len(places))) for k, r in enumerate(group) for p in r[6]]
-            counted = linked
+            strips = [slice(a, a + STRIP) for a in range(0, len(group), STRIP)]
+            copies = np.array([r[7] for r in group], np.int64)
+            seen = np.zeros((len(group), len(places)), np.float32)
             if at:
-                seen = np.zeros((len(group), len(places)), np.float32)
                 seen[tuple(np.array(at).T)] = 1
-                counted = linked & (seen @ seen.T == 0)
-            n_links = counted @ np.array([r[7] for r in group], np.int64)
+            n_links = np.concatenate([(linked[a] & (seen[a] @ seen.T == 0)) @ copies for a in strips])
             reach = label.copy()
             top = np.iinfo(np.int64).max
             while True:
-                better = np.minimum(reach, np.where(linked, reach[None, :], top).min(1))
+                better = np.minimum(reach, np.concatenate([np.where(linked[a], reach[None, :], top).min(1) for a in strips]))
                 if (better == reach).all():
                     break
                 reach = better
