@@ -64,8 +64,10 @@ def slippage_bp(fill_price: Column, intended: Column) -> Column:
 def execution_stats(orders: DataFrame, fills: DataFrame, cancels: DataFrame, keys: list[str]) -> DataFrame:
     """Orders, fills, cancels, mean fill latency and total slippage per key."""
     matched = attribute_fills(orders, fills, keys)
+    # a queue that grows gives latencies of days, whose sum in ns is beyond 64 bits after some thousand fills
+    latency = (F.col("ts_ns") - F.col("order_ts_ns")).cast("decimal(20,0)")
     per_match = matched.groupBy(*keys).agg(
-        (F.sum(F.col("ts_ns") - F.col("order_ts_ns")) / 1_000_000).alias("latency_sum"),
+        (F.sum(latency).cast("double") / 1_000_000).alias("latency_sum"),
         F.coalesce(F.sum(slippage_bp(F.col("price_fp"), F.col("order_price_fp"))), F.lit(0.0)).alias("total_slippage_bp"),
     )
     counts = (
