@@ -125,10 +125,18 @@ def flatten_frames(parsed: DataFrame) -> DataFrame:
     return rows.select("*", "item.side", "item.price", "item.qty").drop("item")
 
 
+#: Up to so many symbols (some 100 bytes each) are broadcast; more are joined by shuffle.
+SMALL_DIMENSION = 100_000
+
+
 def resolve_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Inner equi-join on (venue, name); unknown names drop out. No broadcast is forced: the
-    optimizer broadcasts the dimension when its size allows, and splits hot names otherwise."""
-    dim = symbols.select("venue_id", "symbol_name", "symbol_id")
+    """Inner equi-join on (venue, name); unknown names drop out.
+
+    The optimizer takes rows that were parsed from text for much smaller than they are (the parsed message has a
+    share in its guess only once it is gone) and may broadcast all of them. So the join is told what to do: the
+    dimension is counted and broadcast if it is small, else both sides are shuffled, and hot names are split."""
+    dim = cut_lineage(symbols.select("venue_id", "symbol_name", "symbol_id"))
+    dim = F.broadcast(dim) if dim.count() <= SMALL_DIMENSION else dim.hint("merge")
     return rows.join(dim, ["venue_id", "symbol_name"])
 
 

@@ -1,5 +1,8 @@
 """Fixes of round 4."""
 
+import pytest
+
+from bookweave.operators import ingest
 from bookweave.operators import pnl as P
 
 
@@ -12,3 +15,22 @@ def test_latencies_beyond_64_bits(spark):
     r = P.execution_stats(orders, fills, cancels, ["venue_id"]).first()
     assert (r.total_orders, r.total_fills, r.total_cancels) == (3, 3, 1)
     assert r.avg_fill_latency_ms == wait / 10**6 and round(r.total_slippage_bp, 6) == 300.0
+
+
+def _parsed(spark):
+    frames = spark.range(0, 2000, 1, 4).selectExpr(
+        "CAST(id % 3 AS INT) AS venue_id", "id AS received_at_ns", "id AS frame_no",
+        """format_string('{"e":"trade","T":%d,"s":"S%d","p":"1.5","q":"2","m":false}', id, id % 4) AS data""",
+    )
+    return ingest.flatten_frames(ingest.parse_frames(frames))
+
+
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_rows_are_never_broadcast(spark, monkeypatch, small):
+    """The guess for 2,000 parsed rows is below the limit, and below the size of the dimension with its long names."""
+    monkeypatch.setattr(ingest, "SMALL_DIMENSION", small, raising=False)
+    symbols = spark.createDataFrame([(v, f"S{s}", s) for v in range(3) for s in range(3)] + [(9, "x" * 100, 9)] * 4000, "venue_id int, symbol_name string, symbol_id int")
+    found = ingest.resolve_symbols(_parsed(spark), symbols)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (small > 0)
+    assert found.count() == 1500 and found.filter("concat('S', symbol_id) <> symbol_name").count() == 0
