@@ -4,9 +4,12 @@ into arrival order before they are applied, so results do not depend on how Spar
 from __future__ import annotations
 
 import heapq
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from bookweave.operators.pnl import apply_fill
@@ -19,6 +22,83 @@ def _batch(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True).sort_values(order, kind="stable")
 
 
+def sorted_blocks(frames: Iterator[pd.DataFrame], types: dict[str, pa.DataType], order: list[str], run_rows: int = 200_000, block_rows: int = 4_096) -> Iterator[pa.Table]:
+    """The rows of all frames in blocks, sorted by the two columns of ``order`` (nulls last). Memory holds one run, or
+    later a block of each run: runs are sorted and, if there is more than one, written to the task's own temporary
+    folder and merged."""
+    by = [(c, "ascending") for c in order]
+    first, second = order
+
+    def taken() -> Iterator[pa.Table]:
+        parts, rows = [], 0
+        for f in frames:
+            if len(f):
+                parts.append(pa.table({c: pa.array(f[c], from_pandas=True).cast(t) for c, t in types.items()}))
+                rows += len(f)
+            if rows >= run_rows:
+                yield pa.concat_tables(parts).sort_by(by)
+                parts, rows = [], 0
+        if parts:
+            yield pa.concat_tables(parts).sort_by(by)
+
+    def last(t: pa.Table) -> tuple:
+        a, b = t[first][-1].as_py(), t[second][-1].as_py()
+        return (a is None, 0 if a is None else a, b is None, "" if b is None else b)
+
+    def up_to(t: pa.Table, bound: tuple) -> int:
+        a, b = t[first], t[second]
+        tie = pc.less_equal(b, bound[3]).fill_null(False) if not bound[2] else pa.scalar(True)
+        if bound[0]:
+            return pc.sum(pc.or_(pc.is_valid(a), tie)).as_py()
+        return pc.sum(pc.or_(pc.less(a, bound[1]).fill_null(False), pc.and_(pc.equal(a, bound[1]).fill_null(False), tie))).as_py()
+
+    runs = taken()
+    one, more = next(runs, None), next(runs, None)
+    if more is None:
+        if one is not None:
+            yield from (one.slice(i, block_rows) for i in range(0, one.num_rows, block_rows))
+        return
+    with tempfile.TemporaryDirectory(prefix="sorted-") as folder:
+        sources = []
+
+        def kept(run: pa.Table) -> None:
+            path = f"{folder}/{len(sources)}"
+            with pa.OSFile(path, "wb") as out, pa.ipc.new_stream(out, run.schema) as writer:
+                writer.write_table(run, max_chunksize=block_rows)
+            sources.append(path)
+
+        kept(one)
+        kept(more)
+        del one, more
+        for run in runs:
+            kept(run)
+        files = [pa.OSFile(path, "rb") for path in sources]
+        readers = [pa.ipc.open_stream(f) for f in files]
+        heads: dict[int, pa.Table] = {}
+
+        def refill(i: int) -> None:
+            try:
+                heads[i] = pa.Table.from_batches([readers[i].read_next_batch()])
+            except StopIteration:
+                heads.pop(i, None)
+
+        for i in range(len(readers)):
+            refill(i)
+        while heads:
+            bound = min(map(last, heads.values()))  # what comes up to here is in the heads
+            parts = []
+            for i, t in list(heads.items()):
+                n = up_to(t, bound)
+                if n:
+                    parts.append(t.slice(0, n))
+                    heads[i] = t.slice(n)
+                    if n == t.num_rows:
+                        refill(i)
+            yield pa.concat_tables(parts).sort_by(by)
+        for f in files:
+            f.close()
+
+
 class ReorderProcessor(StatefulProcessor):
     """Holds events until the newest time seen is ``tolerance`` ahead, then lets them go in
     (time, seq) order. Over ``capacity`` the oldest leave early, down to three quarters. An event older
@@ -27,6 +107,9 @@ class ReorderProcessor(StatefulProcessor):
 
     SCHEMA = "key int, event_id string, ts_exchange_ns bigint, seq bigint, release_no bigint, late boolean"
     ORDER = ["arrival", "event_id"]
+    COLUMNS = {"arrival": pa.int64(), "event_id": pa.string(), "ts_exchange_ns": pa.int64(), "seq": pa.int64(), "flush": pa.bool_()}
+    #: Rows of one frame that goes out.
+    OUT_ROWS = 50_000
 
     def __init__(self, tolerance_ns: int, capacity: int):
         self.tolerance, self.capacity = tolerance_ns, capacity
@@ -36,9 +119,6 @@ class ReorderProcessor(StatefulProcessor):
         self.marks = handle.getValueState("marks", "newest bigint, released bigint, count bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _batch(rows, self.ORDER)
-        if not len(batch):
-            return
         newest, released, count = self.marks.get() if self.marks.exists() else (None, None, 0)
         heap = [tuple(r) for r in self.held.get()] if self.held.exists() else []
         heapq.heapify(heap)
@@ -52,25 +132,32 @@ class ReorderProcessor(StatefulProcessor):
             count += 1
             out.append((key[0], event_id, ts, seq, count, late))
 
-        for ts, seq, event_id, flush in zip(batch.ts_exchange_ns, batch.seq, batch.event_id, batch.flush):
-            if not pd.isna(event_id):
-                heapq.heappush(heap, (int(ts), int(seq), event_id))
-                newest = int(ts) if newest is None else max(newest, int(ts))
-            while heap and heap[0][0] <= newest - self.tolerance:
-                let_go()
-            if len(heap) > self.capacity:
-                while len(heap) > int(self.capacity * 0.75):
-                    let_go()
-            if flush:
-                while heap:
+        def gone() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["key", "event_id", "ts_exchange_ns", "seq", "release_no", "late"])
+
+        for block in sorted_blocks(rows, self.COLUMNS, self.ORDER):
+            for ts, seq, event_id, flush in zip(*(block[c].to_pylist() for c in ("ts_exchange_ns", "seq", "event_id", "flush"))):
+                if event_id is not None:
+                    heapq.heappush(heap, (int(ts), int(seq), event_id))
+                    newest = int(ts) if newest is None else max(newest, int(ts))
+                while heap and heap[0][0] <= newest - self.tolerance:
                     let_go()
+                if len(heap) > self.capacity:
+                    while len(heap) > int(self.capacity * 0.75):
+                        let_go()
+                if flush:
+                    while heap:
+                        let_go()
+            if len(out) >= self.OUT_ROWS:
+                yield gone()
+                out.clear()
         self.marks.update((newest, released, count))
         if heap:
             self.held.put(heap)
         else:
             self.held.clear()
         if out:
-            yield pd.DataFrame(out, columns=["key", "event_id", "ts_exchange_ns", "seq", "release_no", "late"])
+            yield gone()
 
     def close(self) -> None:
         pass

@@ -1,9 +1,14 @@
 """Fixes of round 4."""
 
+import random
+
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from bookweave.operators import ingest
 from bookweave.operators import pnl as P
+from bookweave.streaming.processors import ReorderProcessor, sorted_blocks
 
 
 def test_latencies_beyond_64_bits(spark):
@@ -34,3 +39,68 @@ def test_rows_are_never_broadcast(spark, monkeypatch, small):
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BuildLeft" not in plan and ("BuildRight" in plan) == (small > 0)
     assert found.count() == 1500 and found.filter("concat('S', symbol_id) <> symbol_name").count() == 0
+
+
+class _Value:
+    def __init__(self):
+        self.held, self.calls = None, 0
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        self.calls += 1
+        return self.held
+
+    def update(self, value):
+        self.held, self.calls = value, self.calls + 1
+
+    put = update
+
+    def clear(self):
+        self.held = None
+
+
+class _Handle:
+    """State of one key in memory."""
+
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Value())
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def _frame(rows, columns):
+    return pd.DataFrame(rows, columns=columns)
+
+
+def test_sorted_blocks_merge_runs():
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, "a", "é", "z", *map(str, range(30))]), n) for n in range(3000)]
+    frames = (_frame(rows[i : i + 70], ["at", "id", "n"]) for i in range(0, 3000, 70))
+    types = {"at": pa.int64(), "id": pa.string(), "n": pa.int64()}
+    blocks = list(sorted_blocks(frames, types, ["at", "id"], run_rows=250, block_rows=16))
+    got = [tuple(r.values()) for b in blocks for r in b.to_pylist()]
+    last = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    assert [last(r) for r in got] == sorted(map(last, rows)) and sorted(n for *_, n in got) == list(range(3000))
+    assert max(b.num_rows for b in blocks) <= 12 * 16
+
+
+def test_reorder_lets_rows_go_in_pieces():
+    """A batch of 300,000 rows of one feed, out of order: no frame holds more than a part of them."""
+    n, step, columns = 300_000, 10**9, ["key", "event_id", "ts_exchange_ns", "seq", "arrival", "flush"]
+    order = random.Random(2).sample(range(n), n)
+    frames = (_frame([(1, f"e{i:06}", i * step, i, i * step + i * 7919 % 50 * step // 10, False) for i in order[k : k + 10_000]], columns) for k in range(0, n, 10_000))
+    processor, handle = ReorderProcessor(60 * step, 1_000_000), _Handle()
+    processor.init(handle)
+    out = list(processor.handleInputRows((1,), frames, None))
+    assert max(map(len, out)) < 70_000
+    gone = pd.concat(out)
+    assert gone.seq.tolist() == list(range(n - 60)) and gone.release_no.tolist() == list(range(1, n - 59)) and not gone.late.any()
+    assert sorted(r[1] for r in handle.states["held"].held) == list(range(n - 60, n))
