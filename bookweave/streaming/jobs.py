@@ -188,11 +188,16 @@ def node_sights(events: DataFrame) -> DataFrame:
     return events.select(c("ts_exchange_ns").alias("ts_ns"), "seq", F.inline(F.filter(nodes, lambda n: n.isNotNull())))
 
 
+#: Shares of all nodes whose states are kept together; fixed, as a stream goes on from its checkpoint.
+NODE_SHARES = 1024
+
+
 def removed_nodes(sights: DataFrame, retention_ns: int, delay: str) -> DataFrame:
     """The nodes that leave the sliding window, as event time passes (see ``RetentionProcessor``)."""
-    timed_rows = sights.withColumn("at", ns_to_timestamp(F.col("ts_ns"))).withWatermark("at", delay)
+    shared = sights.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(NODE_SHARES)).cast("int"))
+    timed_rows = shared.withColumn("at", ns_to_timestamp(F.col("ts_ns"))).withWatermark("at", delay)
     processor = RetentionProcessor(retention_ns, [NODE[k] for k in ("Event", "Trade", "TimeBucket")], NODE["Order"], NODE["PriceLevel"])
-    return _stateful(timed_rows, ["id"], processor, "append", "EventTime")
+    return _stateful(timed_rows, ["share"], processor, "append", "EventTime")
 
 
 def live_nodes(nodes: DataFrame, retention: str = "60 seconds") -> DataFrame:

@@ -1,6 +1,7 @@
 """Fixes of round 4."""
 
 import random
+from types import SimpleNamespace
 
 import pandas as pd
 import pyarrow as pa
@@ -8,7 +9,10 @@ import pytest
 
 from bookweave.operators import ingest
 from bookweave.operators import pnl as P
-from bookweave.streaming.processors import ReorderProcessor, sorted_blocks
+from bookweave.schemas import NODE
+from bookweave.streaming import jobs as J
+from bookweave.streaming.processors import ReorderProcessor, RetentionProcessor, sorted_blocks
+from tests.test_streams import stream
 
 
 def test_latencies_beyond_64_bits(spark):
@@ -104,3 +108,39 @@ def test_reorder_lets_rows_go_in_pieces():
     gone = pd.concat(out)
     assert gone.seq.tolist() == list(range(n - 60)) and gone.release_no.tolist() == list(range(1, n - 59)) and not gone.late.any()
     assert sorted(r[1] for r in handle.states["held"].held) == list(range(n - 60, n))
+
+
+def test_retention_of_many_nodes_at_once():
+    """A share of 500 nodes takes one call to read and one to write its state, whatever its nodes."""
+    rng, ms, event, order, symbol = random.Random(3), 1_000_000, NODE["Event"], NODE["Order"], NODE["Symbol"]
+    columns = ["id", "kind", "ts_ns", "seq", "depth", "cancel"]
+    sights = [(f"{'eos'[i % 3]}{i}", (event, order, symbol)[i % 3], rng.randrange(1, 100) * ms, n, rng.choice([None, 0.0, 5.0]), 0) for n, i in enumerate(rng.choices(range(500), k=2000))]
+    processor, handle = RetentionProcessor(10 * ms, [event], order, NODE["PriceLevel"]), _Handle()
+    processor.init(handle)
+    out = [*processor.handleInputRows((7,), iter([_frame(sights, columns)]), None)]
+    assert handle.states["share"].calls <= 2 and len(handle.timers) == 1
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: 95)
+    out += [*processor.handleExpiredTimer((7,), clock, None)]
+    want, nodes = [], {}
+    for name, kind, ts, _, depth, _ in sorted(sights, key=lambda r: r[2:4]):
+        node = nodes.get(name)
+        ends = node and (node[1] + 10 * ms if kind == event else node[2] + 10 * ms if kind == order and node[3] == 0 else None)
+        if ends is not None and ends < ts:
+            want.append((name, kind, node[1], node[2], ends + 1))
+            node = None
+        nodes[name] = (kind, node[1] if node else ts, ts, depth if depth is not None else node[3] if node else 0.0)
+    for name, (kind, made, seen, depth) in nodes.items():
+        ends = made + 10 * ms if kind == event else seen + 10 * ms if kind == order and depth == 0 else None
+        if ends is not None and ends // ms + 1 <= 95:
+            want.append((name, kind, made, seen, ends + 1))
+    assert sorted(tuple(r) for f in out for r in f.itertuples(index=False)) == sorted(want) and want
+
+
+def test_retention_is_kept_by_shares(spark, tmp_path):
+    """Two micro-batches over 3,000 nodes: a state call for each node took minutes, shares take seconds."""
+    rows = [(f"n{i}", NODE["Event"], (1000 + i // 300) * 1_000_000, i, None, 0) for i in range(3000)]
+    sights = stream(spark, tmp_path, spark.createDataFrame(rows, "id string, kind int, ts_ns long, seq long, depth double, cancel int"), 2)
+    removed = J.removed_nodes(sights, 3_000_000, "0 seconds")
+    assert "share" in removed._jdf.queryExecution().logical().toString()
+    got = J.drain(removed).collect()
+    assert {r.id for r in got} == {f"n{i}" for i in range(1800)} and len(got) == 1800
